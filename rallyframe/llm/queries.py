@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.llm.corpus_encoding import encode_corpus
+from rallyframe.llm.leakage import leaked_items
 from rallyframe.llm.nearest_time import micros, nearest_in_time
 from rallyframe.llm.pairwise_ranking import rank_items
 from rallyframe.sources.tables import table
@@ -32,7 +33,12 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_ranking, p6_found, p8_ids)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leaks.select("doc_id", "item_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p3_ranking, p6_found, p8_ids, p9_found)}
 
 ORACLES = {
     "p6_found": """
