@@ -93,3 +93,13 @@ def null_safe_hash(columns: list[str]) -> Column:
     for c in columns:
         parts += [F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))]
     return F.xxhash64(*parts)
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as a shuffle would have.
+
+    For scans whose work per byte is far above the cost of moving the byte: a
+    few large files would else keep most of the cluster idle.
+    """
+    n = shuffle_partitions(df.sparkSession)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
