@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rallyframe.util import widened
+
 DEFAULT_FOLDER = "/opt/tokenizers"
 # Fixed value: the word pattern of the public vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -140,5 +142,5 @@ def encode_corpus(
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
-    slim = documents.select(key, text)
+    slim = widened(documents.select(key, text))
     return slim.mapInArrow(run, f"`{key}` {slim.schema[key].dataType.simpleString()}, ids array<int>")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.llm.text_forms import folded, plain_words
+from rallyframe.util import widened
 
 WINDOW = 32
 STEPS = 2 * WINDOW
@@ -293,6 +294,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, block_items: int = BLOC
     """
     spark = documents.sparkSession
     slim = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    slim = widened(slim)
     out = None
     asked = items.select("item_id", "text").where("item_id is not null").dropDuplicates(["item_id"])
     total = asked.count()

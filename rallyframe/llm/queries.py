@@ -9,6 +9,7 @@ from rallyframe.llm.corpus_encoding import encode_corpus
 from rallyframe.llm.leakage import leaked_items
 from rallyframe.llm.nearest_time import micros, nearest_in_time
 from rallyframe.llm.pairwise_ranking import rank_items
+from rallyframe.llm.subjects import document_subjects
 from rallyframe.sources.tables import table
 
 
@@ -38,7 +39,21 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_ranking, p6_found, p8_ids, p9_found)}
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("documents", "doc_subject_labels", "subject_areas", "eval_items")
+    return document_subjects(*(table(spark, folder, n) for n in names))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    known = table(spark, folder, "doc_subject_labels").where("doc_id is not null").select("doc_id").distinct()
+    return _subjects(spark, folder).join(known, "doc_id", "left_anti").select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_ranking, p6_found, p8_ids, p9_found, p10_found, p10_composition)}
 
 ORACLES = {
     "p6_found": """
