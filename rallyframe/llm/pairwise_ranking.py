@@ -22,7 +22,6 @@ from rallyframe.util import global_rank, materialize, salted_join
 PRIOR = 1.0
 TOLERANCE = 1e-6
 MAX_ROUNDS = 200
-WRITE_EVERY = 5
 
 
 def _half(pairs: DataFrame, source: str, target: str, vector: DataFrame, salts: int) -> DataFrame:
@@ -62,7 +61,7 @@ def rank_items(
     share = prior / n
     met = pairs.where("winner <> loser").persist()
     offence = defence = counts.select("id", F.lit(1.0).alias("value"))
-    total, held = float(n), []
+    total = float(n)
     for done in range(1, max_rounds + 1):
         for turn in ("offence", "defence"):
             old = offence if turn == "offence" else defence
@@ -70,12 +69,7 @@ def rank_items(
             kept = old.select("id", F.lit(0.0).alias("flow"), F.col("value").alias("last"))
             sums = flows.unionByName(kept).groupBy("id").agg(F.sum("flow").alias("flow"), F.max("last").alias("last"))
             new = sums.select("id", (F.col("flow") + F.lit(share * total)).alias("value"), "last")
-            if turn == "defence" and done % WRITE_EVERY == 0:
-                offence = materialize(offence)
-                new = materialize(new)
-            else:
-                new = new.persist()
-                held.append(new)
+            new = materialize(new)  # else every round's plan holds those of all rounds before, twice
             moved = F.max(F.abs(F.log(F.col("value") / F.col("last"))))
             seen = new.agg(F.sum(1 / F.col("value")).alias("total"), moved.alias("moved")).first()
             total = float(seen["total"])
@@ -83,10 +77,6 @@ def rank_items(
                 offence, moved_by = new.drop("last"), seen["moved"]
             else:
                 defence = new.drop("last")
-        if done % WRITE_EVERY == 0:
-            for x in held:
-                x.unpersist()
-            held = []
         if moved_by <= tolerance:
             break
     else:
@@ -94,8 +84,7 @@ def rank_items(
     strength = offence.withColumnRenamed("value", "offence").join(defence.withColumnRenamed("value", "defence"), "id")
     strength = strength.join(counts, "id").withColumn("raw", F.col("offence") / F.col("defence"))
     strength = materialize(strength)
-    for x in [met, *held]:
-        x.unpersist()
+    met.unpersist()
     scale = strength.agg(F.exp(F.avg(F.log("raw")))).first()[0]
     rows = strength.select(
         F.col("id").alias("item"), (F.col("raw") / scale).alias("strength"),
