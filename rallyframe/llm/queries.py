@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm.corpus_encoding import encode_corpus
 from rallyframe.llm.leakage import leaked_items
+from rallyframe.llm.name_variants import link_variants
 from rallyframe.llm.nearest_time import micros, nearest_in_time
 from rallyframe.llm.pairwise_ranking import rank_items
 from rallyframe.llm.subjects import document_subjects
@@ -30,6 +31,25 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("left_id").alias("orderbook_request_id"), F.col("right_id").alias("market_request_id"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    evidence, aliases = table(spark, folder, "market_mapping_evidence"), table(spark, folder, "player_alias_overrides")
+    market = evidence.select(
+        F.lit("market_mapping_evidence").alias("source_table"), F.col("market_ticker").alias("record_key"),
+        F.col("raw_yes_sub_title").alias("name"), F.col("yes_canonical_player_id").alias("entity"),
+    )
+    alias = aliases.select(
+        F.lit("player_alias_overrides").alias("source_table"), F.col("raw_market_name").alias("record_key"),
+        F.col("raw_market_name").alias("name"), F.nullif(F.col("canonical_player_id"), F.lit("")).alias("entity"),
+    )
+    names = market.unionByName(alias)
+    open_rows = names.where("entity is null and name is not null and record_key is not null")
+    players = table(spark, folder, "canonical_players")
+    known = players.select(F.col("canonical_player_id").alias("entity"), F.col("full_name").alias("name"))
+    links = link_variants(open_rows, known, names.where("entity is not null"))
+    found = open_rows.drop("entity").join(links, "name")
+    return found.select("source_table", "record_key", F.col("entity").alias("canonical_player_id")).distinct()
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
@@ -53,7 +73,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
     return _subjects(spark, folder).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_ranking, p6_found, p8_ids, p9_found, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p3_ranking, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_composition)}
 
 ORACLES = {
     "p6_found": """
