@@ -55,7 +55,8 @@ def attributes_at(
     Events get columns ``version`` and ``version_at``; an event with a null
     entity or date, or before the first change, gets nulls.  Changes with a
     null entity, date or version are ignored, repeated ones count once.  Either
-    side may be empty; extra and clashing columns of ``changes`` are ignored.
+    side may be empty; further columns of ``changes`` are ignored, and columns
+    of ``events`` named like a result column are replaced.
     """
     log = changes.select(
         F.col(change_entity).alias("entity"), F.col(change_at).alias("at"), F.col(version).alias("version")
@@ -79,5 +80,6 @@ def attributes_at(
         F.col("entity").alias(entity), F.col("at").alias(at),
         F.col("known.version").alias("version"), F.col("known.at").alias("version_at"),
     )
-    spread = [F.col(c) for c in events.columns]
-    return salted_join(events, known, [entity, at], spread, "left", salts)
+    kept = [c for c in events.columns if c not in ("version", "version_at", "_salt")]
+    spread = [F.col(c) for c in kept]
+    return salted_join(events.select(*kept), known, [entity, at], spread, "left", salts)

@@ -30,10 +30,11 @@ def latest_in_delivery(rows: DataFrame, delivery: Column, key: str, order: list[
     costs one row per task in the shuffle.  Rows with null key or delivery are
     no listings and are left out.  Full ties are broken by the row's content.
     """
-    slim = rows.select(delivery.alias("delivery"), F.col(key).alias("key"), *order, *fields)
-    slim = slim.where("delivery is not null and key is not null")
-    rank = F.struct(*[F.col(c) for c in order], null_safe_hash(fields))
-    return slim.groupBy("delivery", "key").agg(F.max_by(F.struct(*fields), rank).alias("row"))
+    slim = rows.select(
+        delivery.alias("delivery"), F.col(key).alias("key"), F.struct(*order).alias("rank"),
+        F.struct(*fields).alias("row"), null_safe_hash(fields).alias("tie"),
+    ).where("delivery is not null and key is not null")
+    return slim.groupBy("delivery", "key").agg(F.max_by("row", F.struct("rank", "tie")).alias("row"))
 
 
 def _chunked(names: list[str]):

@@ -352,9 +352,9 @@ def wn12_tail(spark, folder):
     daily = rows.groupBy("as_of_date").agg(F.count(F.lit(1)).alias("n"))
     later = W.orderBy(F.desc("as_of_date")).rowsBetween(W.unboundedPreceding, -1)  # one row per date
     daily = daily.withColumn("after", F.coalesce(F.sum("n").over(later), F.lit(0)))
-    want = daily.agg(F.ceil(F.lit(0.15) * F.sum("n")).alias("want"))
+    daily = daily.withColumn("want", F.ceil(F.lit(0.15) * F.sum("n").over(W.partitionBy())))
     rank = F.row_number().over(W.partitionBy("as_of_date").orderBy(F.desc("canonical_match_id")))
-    placed = rows.join(daily, "as_of_date").join(F.broadcast(want)).where("after < want").withColumn("k", rank + F.col("after"))
+    placed = rows.join(daily, "as_of_date").where("after < want").withColumn("k", rank + F.col("after"))
     return placed.where("k <= want").select("canonical_match_id")
 
 
@@ -590,3 +590,50 @@ def st04_ranked(spark, folder):
 
     rows = _forecasts(spark, folder).select("canonical_match_id", "p")
     return global_rank(rows, [F.desc("p"), F.asc("canonical_match_id")], "place").drop("p")
+
+
+# ---- models (no SQL equivalent) ----------------------------------------------
+
+_FEATURES = ["surface_elo_diff", "elo_diff", "service_first_won_rate_diff", "return_first_won_allowed_rate_diff", "ace_rate_diff", "h2h_win_rate_diff"]
+
+
+def _predictions(spark: SparkSession, folder: str, family: str, calibrator: str = "sigmoid", trees: int = 20) -> DataFrame:
+    from rallyframe.ml import models
+    from rallyframe.ml.dataset import split_of
+
+    columns = ["as_of_date", "surface", "tourney_level", *[c for c in _FEATURES if c != "elo_diff"]]
+    rows = _dataset(spark, folder, columns).where("as_of_date is not null")
+    rows = rows.withColumn("split", split_of(F.col("as_of_date"), "20141231", "20181231")).persist()
+    train, validation = rows.where("split = 'train'"), rows.where("split = 'validation'")
+    fitted = models.fit(train, _FEATURES, ["surface", "tourney_level"], family, trees=trees)
+    calibrate = (models.platt if calibrator == "sigmoid" else models.isotonic)(fitted.score(validation))
+    scored = calibrate(fitted.score(rows.where("split = 'test'")))
+    return models.prediction_rows(scored, ["canonical_match_id", "as_of_date", "y"])
+
+
+@query()
+def ml02_logistic_regression(spark, folder):
+    return _predictions(spark, folder, "logistic_regression")
+
+
+@query()
+def ml03_random_forest(spark, folder):
+    return _predictions(spark, folder, "random_forest")
+
+
+@query()
+def ml04_boosted_trees(spark, folder):
+    return _predictions(spark, folder, "gradient_boosted_trees", trees=10)
+
+
+@query()
+def ml07_isotonic(spark, folder):
+    return _predictions(spark, folder, "logistic_regression", "isotonic")
+
+
+@query()
+def ml11_metric_bundle(spark, folder):
+    rows = _predictions(spark, folder, "logistic_regression").select("y", F.col("calibrated_probability").alias("p")).persist()
+    parts = [M.point_metrics(rows), M.calibration_error(rows), M.roc_auc(rows)]
+    long = [part.select(F.expr(f"stack({len(part.columns)}, {', '.join(f"'{c}', double({c})" for c in part.columns)}) as (metric, value)")) for part in parts]
+    return long[0].unionAll(long[1]).unionAll(long[2])
