@@ -205,3 +205,67 @@ def differential(sides: DataFrame, columns: list[str]) -> DataFrame:
     return a.join(b, "canonical_match_id").select(
         "canonical_match_id", "player_a", "player_b", *[(F.col(c) - F.col(f"_{c}")).alias(f"{c}_diff") for c in columns]
     )
+
+
+STAT_SAMPLE, PAIR_SAMPLE = 50, 2
+_STAT_SUMS = ["first_won", "served", "first_won_against", "served_against", "aces", "stat_matches", "aces_unknown"]
+
+
+def with_match_stats(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """Player rows with the serve statistics of their match (left lookup by file and row).
+
+    ``stats``: lineage_source_file_path (of the statistics file), lineage_source_row_number,
+    first_won_player1/2, serve_points_player1/2, ace_player1/2; player 1 is the
+    winner.  Of repeated keys the greatest row holds.  A row without serve
+    points on either side counts for neither player.
+    """
+    from rallyframe.operators.relational import holds
+
+    key = ["lineage_source_file_path", "lineage_source_row_number"]
+    values = [f"{c}_player{n}" for c in ("first_won", "serve_points", "ace") for n in (1, 2)]
+    one = holds(stats.select(*key, *values), key, [F.lit(1)])
+    path = F.regexp_replace("lineage_source_file_path", "^atp_matchstats_", "atp_matches_")
+    met = rows.join(one.withColumn("lineage_source_file_path", path), key, "left")
+    usable = F.col("serve_points_player1").isNotNull() & F.col("serve_points_player2").isNotNull()
+
+    def side(c: str, own: bool) -> Column:
+        a, b = F.col(f"{c}_player1"), F.col(f"{c}_player2")
+        return F.when(usable, F.when((F.col("won") == 1) == F.lit(own), a).otherwise(b))
+
+    return met.withColumns(
+        {
+            "first_won": side("first_won", True), "served": side("serve_points", True), "first_won_against": side("first_won", False),
+            "served_against": side("serve_points", False), "aces": side("ace", True), "stat_matches": F.when(usable, 1).otherwise(0),
+            "aces_unknown": F.when(usable & side("ace", True).isNull(), 1).otherwise(0),
+        }
+    ).drop(*values)
+
+
+def stats_before(rows: DataFrame) -> DataFrame:
+    """Rates of serve, return and aces before the cohort: null while missing or below ``STAT_SAMPLE`` points."""
+    out = sums_before(rows, ["player"], "year", "cohort", list(SEQ), _STAT_SUMS)
+    served, against = F.col("served_before"), F.col("served_against_before")
+    enough = served >= STAT_SAMPLE
+    return out.withColumns(
+        {
+            "service_rate": F.when(enough, F.try_divide(F.col("first_won_before"), served)),
+            "return_allowed_rate": F.when(enough, F.try_divide(F.col("first_won_against_before"), against)),
+            "ace_rate": F.when(enough & (F.col("aces_unknown_before") == 0), F.try_divide(F.col("aces_before"), served)),
+            "stats_missing": F.col("stat_matches_before") == 0, "stats_low_sample": (F.col("stat_matches_before") > 0) & ~enough,
+        }
+    )
+
+
+def pair_rate(rows: DataFrame) -> DataFrame:
+    """Head-to-head win rate: null below ``PAIR_SAMPLE`` earlier meetings."""
+    enough = F.col("h2h_count") >= PAIR_SAMPLE
+    return rows.withColumn("h2h_win_rate", F.when(enough, F.try_divide(F.col("h2h_wins"), F.col("h2h_count"))))
+
+
+def audit_counts(rows: DataFrame) -> DataFrame:
+    """Matches and wins of a player just before and after each match, in match order (also within a cohort)."""
+    step = rows.withColumn("played", F.lit(1))
+    out = sums_before(step, ["player"], "year", "canonical_match_id", list(SEQ), ["played", "won"])
+    parts = [("matches", F.col("played_before"), F.lit(1)), ("wins", F.col("won_before"), F.col("won"))]
+    metrics = F.array(*[F.struct(F.lit(n).alias("metric"), pre.cast("bigint").alias("pre"), (pre + d).cast("bigint").alias("post")) for n, pre, d in parts])
+    return out.select("canonical_match_id", "player", F.inline(metrics))

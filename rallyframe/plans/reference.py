@@ -324,6 +324,29 @@ def so01_union_sides(spark, folder):
     return _players(spark, folder).groupBy(F.col("won").cast("bigint").alias("won")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("player").alias("players"))
 
 
+@query(f"""WITH {_PLAYERS}, o AS (SELECT canonical_match_id, player, won, row_number() OVER w - 1 AS n, coalesce(sum(won) OVER (PARTITION BY player ORDER BY {_SEQ}
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM r WINDOW w AS (PARTITION BY player ORDER BY {_SEQ}))
+ SELECT canonical_match_id, player, 'matches' AS metric, n AS pre, n + 1 AS post FROM o UNION ALL SELECT canonical_match_id, player, 'wins', s, s + won FROM o""")
+def jn05_audit(spark, folder):
+    return H.audit_counts(_players(spark, folder))
+
+
+@query(f"""WITH {_MATCHES}, s AS (SELECT canonical_match_id AS id, {_FIRST}, best_of FROM m)
+ SELECT m.canonical_match_id, s.best_of::DOUBLE AS best_of FROM m LEFT JOIN s ON s.id = m.canonical_match_id""")
+def jn03_lookup(spark, folder):
+    matches = _matches(spark, folder)
+    looked_up = matches.select("canonical_match_id", F.col("best_of").cast("double").alias("best_of"))
+    return matches.select("canonical_match_id").join(looked_up, "canonical_match_id", "left")
+
+
+@query()
+def dc06_feature_build(spark, folder):
+    from rallyframe.plans.pipelines import feature_tables
+
+    built = feature_tables(table(spark, folder, "canonical_matches"), table(spark, folder, "canonical_rankings"))
+    return built["differentials"]
+
+
 # ---- dataset, splits, membership ---------------------------------------------
 
 
