@@ -31,13 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (sc.getCheckpointDir() or own).rstrip("/")
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames that read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of files, not a
     recomputation, and every later use sees the same rows and partitions.
     """
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

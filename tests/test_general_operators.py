@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rallyframe.operators.asof_snapshots import attributes_at
 from rallyframe.operators.orphans import Reference, key_runs, orphans, orphans_by_period
 from rallyframe.operators.snapshot_diff import snapshot_changes, with_chunks
-from rallyframe.util import global_rank, salted_join
+from rallyframe.util import global_rank, materialize, purge, salted_join
 
 
 def changes_of(rows, **options):
@@ -102,3 +102,13 @@ def test_global_rank_and_salted_join(spark):
     assert salted_join(left, right, ["k"], [F.col("n")]).count() == 100
     assert salted_join(left, right, ["k"], [F.col("n")], "left").count() == 102
     assert salted_join(left, right, ["k"], [F.col("n")], "left_anti").count() == 2
+
+
+def test_written_tables_can_be_purged(spark):
+    kept = materialize(spark.range(5))
+    assert kept.count() == 5
+    files = [f.removeprefix("file:") for f in kept.inputFiles()]
+    purge(spark)
+    import os
+
+    assert files and not any(os.path.exists(f.removeprefix("//")) for f in files)
