@@ -10,6 +10,7 @@ from rallyframe.operators import history as H
 from rallyframe.operators.relational import holds
 from rallyframe.sources import csv_snapshot as C
 from rallyframe.sources.artifacts import replace_table
+from rallyframe.util import materialize
 
 # Columns each family must have.
 REQUIRED = {
@@ -90,19 +91,22 @@ def canonical_tables(spark: SparkSession, root: str, repo: str, commit: str, row
 
 def feature_tables(matches: DataFrame, rankings: DataFrame, stats: DataFrame | None = None) -> dict[str, DataFrame]:
     """``snapshots`` (match x player), ``differentials`` (match) and ``audit`` of one feature build."""
-    once = H.one_row_per_match(matches)
-    rows = H.player_rows(once)
-    audit = H.audit_counts(rows)
-    sides = H.elo_before(rows, once)
-    sides = H.recent_form(sides)
-    sides = H.last_date_before(sides)
-    sides = H.pair_rate(H.head_to_head(sides))
-    sides = H.ranking_as_of(sides, rankings)
+    once = materialize(H.one_row_per_match(matches))
+    rows = materialize(H.player_rows(once))
+    key = ["canonical_match_id", "player", "won"]
+    # each history is taken from the written rows and joined by key: chained, every step would repeat all before it
+    parts = [
+        H.elo_before(rows, once), H.recent_form(rows), H.last_date_before(rows), H.pair_rate(H.head_to_head(rows)), H.ranking_as_of(rows, rankings),
+    ]
     columns = list(FEATURES)
     if stats is not None:
-        sides = H.stats_before(H.with_match_stats(sides, stats))
+        parts.append(H.stats_before(H.with_match_stats(rows, stats)))
         columns += ["service_rate", "return_allowed_rate", "ace_rate"]
-    return {"snapshots": sides, "differentials": H.differential(sides, columns), "audit": audit}
+    sides = rows
+    for part in parts:
+        sides = sides.join(part.drop(*[c for c in sides.columns if c not in key]), key)
+    sides = materialize(sides)
+    return {"snapshots": sides, "differentials": H.differential(sides, columns), "audit": H.audit_counts(rows)}
 
 
 def persist(tables: dict[str, DataFrame], folder: str, partition_by: dict[str, list[str]] | None = None) -> None:
