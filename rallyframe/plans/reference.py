@@ -660,3 +660,80 @@ def ml11_metric_bundle(spark, folder):
     parts = [M.point_metrics(rows), M.calibration_error(rows), M.roc_auc(rows)]
     long = [part.select(F.expr(f"stack({len(part.columns)}, {', '.join(f"'{c}', double({c})" for c in part.columns)}) as (metric, value)")) for part in parts]
     return long[0].unionAll(long[1]).unionAll(long[2])
+
+
+# ---- lookups between evidence, books and forecasts ---------------------------
+
+
+@query(f"""WITH {_FORECASTS}, e AS (SELECT canonical_match_id, market_ticker FROM market_mapping_evidence WHERE canonical_match_id IS NOT NULL
+   QUALIFY row_number() OVER (PARTITION BY canonical_match_id ORDER BY collected_at_utc DESC, market_ticker DESC) = 1)
+ SELECT DISTINCT f.canonical_match_id, e.market_ticker, round(f.p, 6) AS p FROM f JOIN e USING (canonical_match_id)""")
+def jn09_last_market(spark, folder):
+    evidence = table(spark, folder, "market_mapping_evidence").where("canonical_match_id is not null").select("canonical_match_id", "market_ticker", "collected_at_utc")
+    last = R.holds(evidence, ["canonical_match_id"], [F.col("collected_at_utc"), F.col("market_ticker")]).drop("collected_at_utc")
+    return _forecasts(spark, folder).select("canonical_match_id", _round("p")).join(last, "canonical_match_id").distinct()
+
+
+@query(f"""SELECT e.market_ticker, b.request_id, CASE WHEN b.request_id IS NULL THEN 'missing_orderbook_snapshot' ELSE 'found' END AS status
+ FROM (SELECT DISTINCT market_ticker FROM market_mapping_evidence) e LEFT JOIN (SELECT ticker, request_id FROM kalshi_orderbook_snapshots
+   WHERE ticker IS NOT NULL QUALIFY {_LATEST}) b ON b.ticker = e.market_ticker""")
+def jn10_missing_books(spark, folder):
+    asked = table(spark, folder, "market_mapping_evidence").select(F.col("market_ticker").alias("ticker")).distinct()
+    books = _latest(table(spark, folder, "kalshi_orderbook_snapshots").select("ticker", "request_id", "collected_at_utc", "response_index"))
+    out = asked.join(books.select("ticker", "request_id"), "ticker", "left")
+    status = F.when(F.col("request_id").isNull(), "missing_orderbook_snapshot").otherwise("found")
+    return out.select(F.col("ticker").alias("market_ticker"), "request_id", status.alias("status"))
+
+
+@query(f"""WITH {_FORECASTS} SELECT CASE WHEN f.canonical_match_id IS NULL THEN 'missing_prediction' ELSE 'found' END AS status, count(*) AS n
+ FROM (SELECT DISTINCT market_ticker, canonical_match_id FROM market_mapping_evidence WHERE canonical_match_id IS NOT NULL) e
+ LEFT JOIN (SELECT DISTINCT canonical_match_id FROM f) f USING (canonical_match_id) GROUP BY 1""")
+def jn11_missing_predictions(spark, folder):
+    asked = table(spark, folder, "market_mapping_evidence").where("canonical_match_id is not null").select("market_ticker", "canonical_match_id").distinct()
+    known = _forecasts(spark, folder).select("canonical_match_id").distinct().withColumn("known", F.lit(True))
+    status = F.when(F.col("known").isNull(), "missing_prediction").otherwise("found")
+    return asked.join(known, "canonical_match_id", "left").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_MATCHES} SELECT DISTINCT e.market_ticker, list_sort([e.yes_canonical_player_id, e.no_canonical_player_id]) = list_sort([m.winner_canonical_player_id, m.loser_canonical_player_id]) AS agrees
+ FROM market_mapping_evidence e JOIN m USING (canonical_match_id) WHERE e.yes_canonical_player_id IS NOT NULL AND e.no_canonical_player_id IS NOT NULL""")
+def jn16_pair_agreement(spark, folder):
+    evidence = table(spark, folder, "market_mapping_evidence").where("yes_canonical_player_id is not null and no_canonical_player_id is not null")
+    evidence = evidence.select("market_ticker", "canonical_match_id", F.array_sort(F.array("yes_canonical_player_id", "no_canonical_player_id")).alias("sides"))
+    met = _matches(spark, folder).select("canonical_match_id", F.array_sort(F.array("winner_canonical_player_id", "loser_canonical_player_id")).alias("players"))
+    return evidence.join(met, "canonical_match_id").select("market_ticker", (F.col("sides") == F.col("players")).alias("agrees")).distinct()
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (mapping_state = 'matched') AS matched, count(*) FILTER (yes_canonical_player_id IS NULL) AS open_names,
+ count(*) FILTER (collected_at_utc < TIMESTAMP '2024-01-01 00:00:00') AS older FROM market_mapping_evidence""")
+def ag19_conditional_counts(spark, folder):
+    old = F.col("collected_at_utc") < F.expr("timestamp_ntz'2024-01-01 00:00:00'")
+    return table(spark, folder, "market_mapping_evidence").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("mapping_state") == "matched").alias("matched"),
+        F.count_if(F.col("yes_canonical_player_id").isNull()).alias("open_names"), F.count_if(old).alias("older"),
+    )
+
+
+_SIDE = "CASE WHEN coalesce(yes_best_price_dollars, -1) > coalesce(no_best_price_dollars, -1) THEN 'yes' WHEN coalesce(yes_best_price_dollars, -1) < coalesce(no_best_price_dollars, -1) THEN 'no' WHEN coalesce(yes_best_quantity_fp, 0) >= coalesce(no_best_quantity_fp, 0) THEN 'yes' ELSE 'no' END"
+
+
+@query(f"SELECT DISTINCT request_id, {_SIDE} AS side, (1 - no_best_price_dollars)::DOUBLE AS complement FROM kalshi_orderbook_snapshots")
+def st07_best_side(spark, folder):
+    price = lambda s: F.coalesce(F.col(f"{s}_best_price_dollars"), F.lit(-1).cast("decimal(18,4)"))
+    size = lambda s: F.coalesce(F.col(f"{s}_best_quantity_fp"), F.lit(0).cast("decimal(18,4)"))
+    side = F.when(price("yes") > price("no"), "yes").when(price("yes") < price("no"), "no").when(size("yes") >= size("no"), "yes").otherwise("no")
+    rows = table(spark, folder, "kalshi_orderbook_snapshots")
+    return rows.select("request_id", side.alias("side"), (F.lit(1).cast("decimal(18,4)") - F.col("no_best_price_dollars")).cast("double").alias("complement")).distinct()
+
+
+@query(f"WITH {_FORECASTS} SELECT canonical_match_id, printf('%.1f%%', 100 * round(p, 3)) AS shown, as_of_date[1:4] AS year FROM f")
+def sf21_formats(spark, folder):
+    rows = _forecasts(spark, folder)
+    return rows.select("canonical_match_id", text.percent(F.round("p", 3)).alias("shown"), F.substring("as_of_date", 1, 4).alias("year"))
+
+
+@query("""SELECT feature_version, count(DISTINCT lineage_source_repo) AS repos, count(DISTINCT lineage_source_commit_sha) AS commits FROM modeling_rows GROUP BY 1""")
+def pf13_source_values(spark, folder):
+    return table(spark, folder, "modeling_rows").groupBy("feature_version").agg(
+        F.countDistinct("lineage_source_repo").alias("repos"), F.countDistinct("lineage_source_commit_sha").alias("commits")
+    )
