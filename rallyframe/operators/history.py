@@ -30,10 +30,20 @@ def round_order(name: Column, strict: bool = True) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown round: "), F.coalesce(name, F.lit("null"))))) if strict else out
 
 
-def one_row_per_match(matches: DataFrame) -> DataFrame:
-    """Complete matches, each once (its first delivery), with ``round_order`` and ``cohort``."""
+_MATCH_COLUMNS = (
+    "canonical_match_id", "winner_canonical_player_id", "loser_canonical_player_id", "surface", "tourney_date", "round_name",
+    "lineage_source_snapshot_root", "lineage_source_file_path", "lineage_source_row_number",
+)
+
+
+def one_row_per_match(matches: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Complete matches, each once (its first delivery), with ``round_order`` and ``cohort``.
+
+    Only the columns that histories need, and ``extra`` ones, are read.
+    """
     from rallyframe.operators.relational import holds
 
+    matches = matches.select(*_MATCH_COLUMNS, *extra)
     known = matches.where(
         "canonical_match_id is not null and winner_canonical_player_id is not null "
         "and loser_canonical_player_id is not null and tourney_date is not null and round_name is not null"
@@ -138,6 +148,7 @@ def ranking_as_of(rows: DataFrame, rankings: DataFrame) -> DataFrame:
 
     valid = rankings.where("canonical_player_id is not null and ranking_date is not null and rank is not null")
     order = ["lineage_source_snapshot_root", "lineage_source_file_path", "lineage_source_row_number"]
+    valid = valid.select("canonical_player_id", "ranking_date", "rank", "points", *order)
     log = holds(valid, ["canonical_player_id", "ranking_date"], [F.col(c) for c in order])
     by_date = W.partitionBy("player").orderBy("at")  # one row per player and ranking date
     log = log.select(F.col("canonical_player_id").alias("player"), F.col("ranking_date").alias("at"), "rank", "points")

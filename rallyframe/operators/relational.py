@@ -11,10 +11,11 @@ def holds(rows: DataFrame, keys: list[str], order: list[Column], last: bool = Tr
 
     A partially aggregated ``max_by``/``min_by``, not a window: a hot key costs
     one row per task in the shuffle.  Rows whose order ties are chosen between
-    by their content.  Null keys form a key of their own.
+    by their content.  Null keys form a key of their own.  All columns of
+    ``rows`` are read, so select those that are wanted first.
     """
     whole = F.struct(*[F.col(c) for c in rows.columns])
-    rank = F.struct(*order, F.to_json(whole))
+    rank = F.struct(*order, whole)
     pick = F.max_by(whole, rank) if last else F.min_by(whole, rank)
     return rows.groupBy(*keys).agg(pick.alias("_row")).select("_row.*")
 

@@ -56,8 +56,8 @@ f AS (SELECT d.canonical_match_id, d.as_of_date, d.surface, d.tourney_level, d.p
             WHERE winner_canonical_player_id IS NOT NULL) w USING (canonical_match_id))"""
 
 
-def _matches(spark: SparkSession, folder: str) -> DataFrame:
-    return H.one_row_per_match(table(spark, folder, "canonical_matches"))
+def _matches(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
+    return H.one_row_per_match(table(spark, folder, "canonical_matches"), extra)
 
 
 def _players(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +108,7 @@ def sf05_ranking_ids(spark, folder):
   FROM m WHERE source_tourney_id IS NOT NULL""")
 def sf05_match_ids(spark, folder):
     made = ids.match_id(*[F.col(c) for c in ("lineage_source_file_path", "lineage_source_row_number", "source_tourney_id", "winner_canonical_player_id", "loser_canonical_player_id", "round_name")])
-    return _matches(spark, folder).where("source_tourney_id is not null").select("canonical_match_id", made.alias("id"))
+    return _matches(spark, folder, "source_tourney_id").where("source_tourney_id is not null").select("canonical_match_id", made.alias("id"))
 
 
 @query("""SELECT relative_path, CASE WHEN regexp_matches(n, 'qual|chall|futures|doubles|itf|wta') THEN 'out_of_scope_file_family'
@@ -153,9 +153,9 @@ def pf07_flatten_lineage(spark, folder):
   QUALIFY row_number() OVER (PARTITION BY canonical_player_id ORDER BY {_FIRST}, coalesce(first_name, '~')) = 1""")
 def ag17_first_wins(spark, folder):
     order = [F.col(c.strip()) for c in _FIRST.split(",")] + [F.coalesce("first_name", F.lit("~"))]
-    return R.holds(table(spark, folder, "canonical_players"), ["canonical_player_id"], order, last=False).select(
-        "canonical_player_id", "first_name", "last_name", "full_name"
-    )
+    names = ["canonical_player_id", "first_name", "last_name", "full_name"]
+    rows = table(spark, folder, "canonical_players").select(*names, *[c.strip() for c in _FIRST.split(",")])
+    return R.holds(rows, ["canonical_player_id"], order, last=False).select(*names)
 
 
 @query(f"""SELECT canonical_ranking_id, rank::DOUBLE AS rank FROM canonical_rankings WHERE canonical_ranking_id IS NOT NULL
@@ -163,6 +163,7 @@ def ag17_first_wins(spark, folder):
 def ag21_last_wins(spark, folder):
     order = [F.col(c.strip()) for c in _FIRST.split(",")] + [F.coalesce("rank", F.lit(-1))]
     rows = table(spark, folder, "canonical_rankings").where("canonical_ranking_id is not null")
+    rows = rows.select("canonical_ranking_id", "rank", *[c.strip() for c in _FIRST.split(",")])
     return R.holds(rows, ["canonical_ranking_id"], order).select("canonical_ranking_id", F.col("rank").cast("double").alias("rank"))
 
 
@@ -331,12 +332,20 @@ def jn05_audit(spark, folder):
     return H.audit_counts(_players(spark, folder))
 
 
-@query(f"""WITH {_MATCHES}, s AS (SELECT canonical_match_id AS id, {_FIRST}, best_of FROM m)
- SELECT m.canonical_match_id, s.best_of::DOUBLE AS best_of FROM m LEFT JOIN s ON s.id = m.canonical_match_id""")
-def jn03_lookup(spark, folder):
-    matches = _matches(spark, folder)
-    looked_up = matches.select("canonical_match_id", F.col("best_of").cast("double").alias("best_of"))
-    return matches.select("canonical_match_id").join(looked_up, "canonical_match_id", "left")
+@query()
+def jn03_match_stats(spark, folder):
+    """Serve statistics of delivered files, looked up by file name and line of each match."""
+    from rallyframe.operators.record_quarantine import loaded_records
+
+    lines = table(spark, folder, "raw_csv_lines").where("relative_path like '%/atp_matchstats_%'")
+    loaded = loaded_records(lines, table(spark, folder, "file_quarantine_records"))
+    whole = lambda c, name: F.trim(F.col("values")[c]).try_cast("int").alias(name)
+    stats = loaded.select(
+        F.element_at(F.split("relative_path", "/"), -1).alias("lineage_source_file_path"), F.col("line_number").alias("lineage_source_row_number"),
+        *[whole(f"{c}{n}", f"{name}_player{n}") for c, name in (("1stWon", "first_won"), ("svpt", "serve_points"), ("ace", "ace")) for n in (1, 2)],
+    )
+    rows = H.stats_before(H.with_match_stats(_players(spark, folder), stats))
+    return rows.select("canonical_match_id", "player", "first_won", "served", "aces", "stats_missing", _round("service_rate"))
 
 
 @query()
