@@ -14,6 +14,7 @@ from rallyframe.operators import metrics as M
 from rallyframe.operators import relational as R
 from rallyframe.sources.csv_snapshot import file_scope, row_quarantine
 from rallyframe.sources.tables import table
+from rallyframe.util import global_rank, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -344,7 +345,7 @@ def jn03_match_stats(spark, folder):
         F.element_at(F.split("relative_path", "/"), -1).alias("lineage_source_file_path"), F.col("line_number").alias("lineage_source_row_number"),
         *[whole(f"{c}{n}", f"{name}_player{n}") for c, name in (("1stWon", "first_won"), ("svpt", "serve_points"), ("ace", "ace")) for n in (1, 2)],
     )
-    rows = H.stats_before(H.with_match_stats(_players(spark, folder), stats))
+    rows = H.stats_before(materialize(H.with_match_stats(_players(spark, folder), stats)))
     return rows.select("canonical_match_id", "player", "first_won", "served", "aces", "stats_missing", _round("service_rate"))
 
 
@@ -394,8 +395,6 @@ def wn12_tail(spark, folder):
    FROM (SELECT DISTINCT canonical_match_id FROM modeling_rows WHERE feature_version = 'v2'))
  SELECT l.pos, r.canonical_match_id, r.as_of_date FROM l JOIN (SELECT DISTINCT canonical_match_id, as_of_date FROM modeling_rows WHERE feature_version = 'v1') r USING (canonical_match_id)""")
 def jn13_membership_order(spark, folder):
-    from rallyframe.util import global_rank
-
     rows = table(spark, folder, "modeling_rows")
     listed = global_rank(rows.where("feature_version = 'v2' and canonical_match_id is not null").select("canonical_match_id").distinct(), [F.desc("canonical_match_id")], "pos")
     listed = listed.withColumn("pos", F.col("pos") - 1)
@@ -618,8 +617,6 @@ def ag20_most_frequent(spark, folder):
 
 @query(f"""WITH {_FORECASTS} SELECT canonical_match_id, rank() OVER (ORDER BY p DESC, canonical_match_id) AS place FROM f""")
 def st04_ranked(spark, folder):
-    from rallyframe.util import global_rank
-
     rows = _forecasts(spark, folder).select("canonical_match_id", "p")
     return global_rank(rows, [F.desc("p"), F.asc("canonical_match_id")], "place").drop("p")
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,3 +115,20 @@ def widened(df: DataFrame) -> DataFrame:
     """
     n = shuffle_partitions(df.sparkSession)
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever it was imported from.
+
+    On one machine its folder joins the workers' path; on a cluster the package
+    is sent to the executors once per application.
+    """
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    paths = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if str(root) in paths.split(os.pathsep):
+        return
+    sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root), paths]))
+    if not sc.master.startswith("local"):
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='rallyframe-code-')}/rallyframe", "zip", root, "rallyframe")
+        sc.addPyFile(archive)  # served by the driver to every executor
