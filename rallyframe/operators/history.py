@@ -161,7 +161,7 @@ def ranking_as_of(rows: DataFrame, rankings: DataFrame) -> DataFrame:
     until = W.partitionBy("player").orderBy("at", "tag").rowsBetween(W.unboundedPreceding, W.currentRow)
     known = both.withColumn("k", F.last("s", ignorenulls=True).over(until)).where("tag = 1")
     known = known.select("player", F.col("at").alias("tourney_date"), F.col("k.at").alias("ranking_date"), "k.rank", "k.points", "k.previous_rank")
-    out = salted_join(rows, known, ["player", "tourney_date"], [F.col("canonical_match_id")], "left", 8)
+    out = salted_join(rows, known, ["player", "tourney_date"], [F.col("canonical_match_id")], "left", 4)
     day = lambda c: F.to_date(c, "yyyyMMdd")
     return (
         out.withColumn("rank_change", F.col("rank") - F.col("previous_rank"))
