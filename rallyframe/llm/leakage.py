@@ -41,7 +41,7 @@ INSERTION = 0.08
 COMMON = 3
 BLOCK_ITEMS = 4000
 BAND = 30
-_TABLE_BITS = 22
+_TABLE_BITS = 20
 _SENTENCE = re.compile(r"(?<=[.?!])[\"”’']?\s+")
 
 
@@ -118,10 +118,21 @@ class ItemIndex:
         self.owner, self.word = np.array(owner, np.int64), np.array(word, np.int64)
         self.order = np.argsort(hashes, axis=1, kind="stable")
         self.sorted = np.take_along_axis(hashes, self.order, axis=1)
-        self.seen = np.zeros((len(hashes), 1 << _TABLE_BITS), dtype=bool)
-        for s, row in enumerate(hashes):
+        self._mark()
+
+    def _mark(self) -> None:
+        self.seen = np.zeros((len(self.sorted), 1 << _TABLE_BITS), dtype=bool)
+        for s, row in enumerate(self.sorted):
             self.seen[s][(row >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
+    def __getstate__(self) -> dict:
+        # the mark table is as large as it is sparse: workers make it anew
+        return {k: v for k, v in self.__dict__.items() if k != "seen"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._mark()
+
     def candidates(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (window of the document side, window of the item side) that share a hash."""
         hashes = self.walk(text, starts)
