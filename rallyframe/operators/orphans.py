@@ -35,7 +35,7 @@ class Reference:
 
 
 def split_key(key: Column) -> tuple[Column, Column]:
-    """(prefix, number) of a key; number is null unless the key is canonical.
+    """(prefix, number) of a key; a key of irregular form is its own prefix, with number 0.
 
     Canonical: ``...:`` and 1-18 decimal digits without leading zero, or
     ``...:`` and 16 lower-case hex digits (read as a signed 64-bit number).
@@ -46,10 +46,9 @@ def split_key(key: Column) -> tuple[Column, Column]:
     tail = F.substring_index(key, ":", -1)
     high = F.conv(F.substring(tail, 1, 8), 16, 10).cast("bigint")
     low = F.conv(F.substring(tail, 9, 8), 16, 10).cast("bigint")
-    prefix = F.substring(key, 1, 1_000_000).substr(F.lit(1), F.length(key) - F.length(tail))
+    prefix = key.substr(F.lit(1), F.length(key) - F.length(tail))
     form = F.when(hexa, HEX16).when(decimal, DECIMAL)
-    number = F.when(hexa, F.shiftleft(high - F.lit(1 << 31), 32) + low).when(decimal, F.expr("null").cast("bigint"))
-    number = F.when(hexa, number).when(decimal, tail.try_cast("bigint"))
+    number = F.when(hexa, F.shiftleft(high - F.lit(1 << 31), 32) + low).when(decimal, tail.try_cast("bigint"))
     whole = F.concat(F.coalesce(form, F.lit("text")), F.lit("|"), F.when(form.isNotNull(), prefix).otherwise(key))
     return whole, F.coalesce(number, F.lit(0).cast("bigint"))
 
