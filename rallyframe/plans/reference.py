@@ -423,12 +423,14 @@ def jn15_parity(spark, folder):
     return R.differences(*one).where("side = 'saved'").select("side", "canonical_match_id", "player_a_id", "elo_diff")
 
 
-@query("""SELECT feature_version, sha256(string_agg(canonical_match_id, chr(10) ORDER BY canonical_match_id) || chr(10)) AS membership_hash
-  FROM (SELECT DISTINCT feature_version, as_of_date[1:4] AS y, canonical_match_id FROM modeling_rows WHERE as_of_date LIKE '2015%') GROUP BY feature_version""")
+@query("""SELECT feature_version, as_of_date, sha256(string_agg(canonical_match_id, chr(10) ORDER BY canonical_match_id) || chr(10)) AS membership_hash
+  FROM (SELECT DISTINCT feature_version, coalesce(as_of_date, '') AS as_of_date, canonical_match_id FROM modeling_rows WHERE canonical_match_id IS NOT NULL) GROUP BY feature_version, as_of_date""")
 def ag16_membership_hash(spark, folder):
-    rows = table(spark, folder, "modeling_rows").where("as_of_date like '2015%'").select("feature_version", "canonical_match_id").distinct()
-    listed = rows.groupBy("feature_version").agg(F.array_sort(F.collect_list("canonical_match_id")).alias("ids"))
-    return listed.select("feature_version", ids.ordered_list_hash(F.col("ids")).alias("membership_hash"))
+    """One hash per version and date, so no task lists more than a day's ids."""
+    rows = table(spark, folder, "modeling_rows").where("canonical_match_id is not null")
+    rows = rows.select("feature_version", F.coalesce("as_of_date", F.lit("")).alias("as_of_date"), "canonical_match_id").distinct()
+    listed = rows.groupBy("feature_version", "as_of_date").agg(F.array_sort(F.collect_list("canonical_match_id")).alias("ids"))
+    return listed.select("feature_version", "as_of_date", ids.ordered_list_hash(F.col("ids")).alias("membership_hash"))
 
 
 # ---- name resolution ---------------------------------------------------------
