@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 Transport = Callable[[str, dict], tuple[int, dict]]
-# Retries of throttled requests.
+# Retries of throttled requests, and the filters a listing takes.
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 4, 0.25, 2.0
 FILTERS = (
     "limit", "cursor", "event_ticker", "series_ticker", "tickers", "status", "mve_filter", "min_created_ts", "max_created_ts",
