@@ -216,7 +216,7 @@ def _verified(index: ItemIndex, text: np.ndarray, at: np.ndarray, doc: np.ndarra
         tests = turns.setdefault((int(doc[k]), int(o)), {})
         for span in {min(span, size) for span in SPANS}:
             first, last = max(0, w - span + 1), min(w, size - span)
-            tests.update({(span, s, at0): int(k) for s in range(first, last + 1) if s % 3 == 0 or s in (first, last)})
+            tests.update({(span, s, at0): int(k) for s in range(first, last + 1)})
     turns = {pair: _turn_order(tests) for pair, tests in turns.items()}
     found: dict[tuple[int, int], float] = {}
     open_pairs = {pair: iter(tests.items()) for pair, tests in turns.items()}

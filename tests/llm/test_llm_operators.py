@@ -253,6 +253,22 @@ def test_edit_shares_against_plain_table():
         assert abs(got - want) < 1e-5
 
 
+def test_sixteen_words_are_found_at_every_start():
+    rng = random.Random(9)
+    passage = ["".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(40)]
+    index = L.ItemIndex({1: passage})
+    foreign = lambda: "".join(rng.choice("hklmnp") for _ in range(6))
+    starts = range(len(passage) - 15)
+    docs = []
+    for s in starts:
+        part = passage[s : s + 16]
+        part[3] = foreign()
+        docs.append(" ".join([*[foreign() for _ in range(20)], *part, *[foreign() for _ in range(20)]]))
+    batch = pa.RecordBatch.from_arrays([pa.array(starts), pa.array(docs)], names=["doc_id", "text"])
+    found = {d for out in L._scan(index)(iter([batch])) for d in out.column(0).to_pylist()}
+    assert found == set(starts)
+
+
 def test_search_recall_against_every_window():
     rng = random.Random(8)
     passage = ["".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(40)]
