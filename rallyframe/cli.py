@@ -39,6 +39,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from rallyframe.plans import general, reference, pipelines
     from rallyframe.session import get_session
+    from rallyframe.sources.tables import table_if_there
 
     known = general.QUERIES | reference.QUERIES
     if args.command == "queries":
@@ -53,7 +54,8 @@ def main(argv: list[str] | None = None) -> int:
         pipelines.persist(pipelines.canonical_tables(spark, args.root, args.repo, args.commit), args.out)
     elif args.command == "build-features":
         matches, rankings = _tables(spark, args.folder, ["canonical_matches", "canonical_rankings"])
-        pipelines.persist(pipelines.feature_tables(matches, rankings), args.out)
+        stats = table_if_there(spark, args.folder, "canonical_match_stats")
+        pipelines.persist(pipelines.feature_tables(matches, rankings, stats), args.out)
     else:
         from rallyframe.sources.market_api import MarketPages, typed_markets
 

@@ -30,7 +30,7 @@ def round_order(name: Column, strict: bool = True) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown round: "), F.coalesce(name, F.lit("null"))))) if strict else out
 
 
-_MATCH_COLUMNS = (
+MATCH_COLUMNS = (
     "canonical_match_id", "winner_canonical_player_id", "loser_canonical_player_id", "surface", "tourney_date", "round_name",
     "lineage_source_snapshot_root", "lineage_source_file_path", "lineage_source_row_number",
 )
@@ -43,7 +43,7 @@ def one_row_per_match(matches: DataFrame, extra: tuple[str, ...] = ()) -> DataFr
     """
     from rallyframe.operators.relational import holds
 
-    matches = matches.select(*_MATCH_COLUMNS, *extra)
+    matches = matches.select(*MATCH_COLUMNS, *extra)
     known = matches.where(
         "canonical_match_id is not null and winner_canonical_player_id is not null "
         "and loser_canonical_player_id is not null and tourney_date is not null and round_name is not null"

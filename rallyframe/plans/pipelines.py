@@ -19,7 +19,11 @@ REQUIRED = {
     "atp_matches": ["tourney_id", "surface", "tourney_name", "tourney_date", "tourney_level", "winner_id", "loser_id", "score", "best_of", "round"],
     "atp_matchstats": ["match_id", "1stWon1", "1stWon2", "ace1", "ace2", "svpt1", "svpt2"],
 }
-FEATURES = ["elo", "form_5_win_rate", "form_10_win_rate", "form_20_win_rate", "rest_days", "rank", "points", "h2h_win_rate"]
+FEATURES = [
+    "elo", "surface_elo", "form_5_win_rate", "form_10_win_rate", "form_20_win_rate", "rest_days", "rank", "points", "rank_change", "h2h_win_rate",
+    "service_rate", "return_allowed_rate", "ace_rate",
+]
+PASSED_ON = ["surface", "tourney_level", "round_name", "best_of", "lineage_source_repo", "lineage_source_commit_sha", "lineage_source_file_path", "lineage_source_row_number", "lineage_source_snapshot_root"]
 
 
 def _lineage(repo: str, commit: str, root: str) -> list[Column]:
@@ -90,23 +94,36 @@ def canonical_tables(spark: SparkSession, root: str, repo: str, commit: str, row
 
 
 def feature_tables(matches: DataFrame, rankings: DataFrame, stats: DataFrame | None = None) -> dict[str, DataFrame]:
-    """``snapshots`` (match x player), ``differentials`` (match) and ``audit`` of one feature build."""
-    once = materialize(H.one_row_per_match(matches))
+    """``snapshots`` (match x player), ``differentials`` (match) and ``audit`` of one feature build.
+
+    A differential has the differences of ``FEATURES``, the match's date, its
+    columns of ``PASSED_ON`` as far as ``matches`` has them, and the pair's
+    earlier meetings.  Without ``stats`` the rates of serve, return and aces
+    are missing for everyone.
+    """
+    passed = [c for c in PASSED_ON if c in matches.columns]
+    once = H.one_row_per_match(matches, tuple(c for c in passed if c not in H.MATCH_COLUMNS))
+    once = materialize(once)
     rows = materialize(H.player_rows(once))
     key = ["canonical_match_id", "player", "won"]
     # each history is taken from the written rows and joined by key: chained, every step would repeat all before it
     parts = [
-        H.elo_before(rows, once), H.recent_form(rows), H.last_date_before(rows), H.pair_rate(H.head_to_head(rows)), H.ranking_as_of(rows, rankings),
+        H.elo_before(rows, once), H.elo_before(rows, once, "surface", "surface_elo"), H.recent_form(rows), H.last_date_before(rows),
+        H.pair_rate(H.head_to_head(rows)), H.ranking_as_of(rows, rankings),
     ]
-    columns = list(FEATURES)
     if stats is not None:
-        parts.append(H.stats_before(H.with_match_stats(rows, stats)))
-        columns += ["service_rate", "return_allowed_rate", "ace_rate"]
+        parts.append(H.stats_before(materialize(H.with_match_stats(rows, stats))))
     sides = rows
     for part in parts:
         sides = sides.join(part.drop(*[c for c in sides.columns if c not in key]), key)
+    if stats is None:
+        unknown = {c: F.lit(None).cast("double") for c in ("service_rate", "return_allowed_rate", "ace_rate")}
+        sides = sides.withColumns(unknown | {"stats_missing": F.lit(True), "stats_low_sample": F.lit(False)})
     sides = materialize(sides)
-    return {"snapshots": sides, "differentials": H.differential(sides, columns), "audit": H.audit_counts(rows)}
+    met = sides.where("won = 1").select("canonical_match_id", F.col("h2h_count").cast("bigint").alias("h2h_match_count"))
+    known = once.select("canonical_match_id", F.col("tourney_date").alias("as_of_date"), *passed)
+    differentials = H.differential(sides, FEATURES).join(met, "canonical_match_id").join(known, "canonical_match_id")
+    return {"snapshots": sides, "differentials": differentials, "audit": H.audit_counts(rows)}
 
 
 def persist(tables: dict[str, DataFrame], folder: str, partition_by: dict[str, list[str]] | None = None) -> None:

@@ -333,19 +333,22 @@ def jn05_audit(spark, folder):
     return H.audit_counts(_players(spark, folder))
 
 
-@query()
-def jn03_match_stats(spark, folder):
-    """Serve statistics of delivered files, looked up by file name and line of each match."""
+def _delivered_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Serve statistics of delivered files, by file name and line."""
     from rallyframe.operators.record_quarantine import loaded_records
 
     lines = table(spark, folder, "raw_csv_lines").where("relative_path like '%/atp_matchstats_%'")
     loaded = loaded_records(lines, table(spark, folder, "file_quarantine_records"))
     whole = lambda c, name: F.trim(F.col("values")[c]).try_cast("int").alias(name)
-    stats = loaded.select(
+    return loaded.select(
         F.element_at(F.split("relative_path", "/"), -1).alias("lineage_source_file_path"), F.col("line_number").alias("lineage_source_row_number"),
         *[whole(f"{c}{n}", f"{name}_player{n}") for c, name in (("1stWon", "first_won"), ("svpt", "serve_points"), ("ace", "ace")) for n in (1, 2)],
     )
-    rows = H.stats_before(materialize(H.with_match_stats(_players(spark, folder), stats)))
+
+@query()
+def jn03_match_stats(spark, folder):
+    """Serve statistics of delivered files, looked up by file name and line of each match."""
+    rows = H.stats_before(materialize(H.with_match_stats(_players(spark, folder), _delivered_stats(spark, folder))))
     return rows.select("canonical_match_id", "player", "first_won", "served", "aces", "stats_missing", _round("service_rate"))
 
 
@@ -353,7 +356,7 @@ def jn03_match_stats(spark, folder):
 def dc06_feature_build(spark, folder):
     from rallyframe.plans.pipelines import feature_tables
 
-    built = feature_tables(table(spark, folder, "canonical_matches"), table(spark, folder, "canonical_rankings"))
+    built = feature_tables(table(spark, folder, "canonical_matches"), table(spark, folder, "canonical_rankings"), _delivered_stats(spark, folder))
     return built["differentials"]
 
 

@@ -8,3 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table ``name`` of ``folder``: one Parquet file or a directory of them."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def table_if_there(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    return table(spark, folder, name) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None

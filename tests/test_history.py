@@ -87,6 +87,30 @@ def test_features_ignore_the_future_and_cohort_order(spark):
     assert sorted(map(str, part.collect())) == sorted(str(r) for r in whole.collect() if r.canonical_match_id in ids)
 
 
+def test_feature_build_is_whole(spark, tmp_path):
+    from rallyframe.cli import main
+    from rallyframe.plans.reference import QUERIES
+
+    games = [("a", "b", "Hard"), ("a", "b", "Clay"), ("b", "a", "Hard")]
+    m = matches(spark, [(w, l, f"202401{10 + n}", "F", s) for n, (w, l, s) in enumerate(games)])
+    m = m.withColumns({"tourney_level": F.lit("G"), "best_of": F.lit(5)})
+    stats = spark.createDataFrame([("atp_matchstats_2024.csv", n + 2, 40, 30, 8, 4, 50, 60) for n in range(3)], STATS)
+    table = rankings(spark, [("a", "20240101", 9, 10), ("a", "20240105", 4, 20), ("b", "20240101", 7, 10), ("b", "20240105", 8, 20)])
+    for name, rows in (("canonical_matches", m), ("canonical_rankings", table), ("canonical_match_stats", stats)):
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert main(["build-features", str(tmp_path), str(tmp_path / "out")]) == 0
+    for built in (feature_tables(m, table, stats)["differentials"], spark.read.parquet(f"{tmp_path}/out/differentials.parquet")):
+        last = {r.canonical_match_id: r for r in built.collect()}["m2"]
+        assert abs(last.service_rate_diff - (60 / 120 - 80 / 100)) < 1e-12 and abs(last.ace_rate_diff - (8 / 120 - 16 / 100)) < 1e-12
+        assert abs(last.return_allowed_rate_diff - (80 / 100 - 60 / 120)) < 1e-12
+        assert last.surface_elo_diff == -32.0 and last.elo_diff < -32 and last.rank_change_diff == 1 + 5
+        assert (last.h2h_match_count, last.as_of_date, last.surface, last.round_name, last.tourney_level, last.best_of) == (2, "20240112", "Hard", "F", "G", 5)
+        assert sum(c.endswith("_diff") for c in built.columns) == 13
+    bare = feature_tables(m, table)["differentials"]
+    assert bare.columns == built.columns and not bare.where("service_rate_diff is not null").count()
+    assert QUERIES["dc06_feature_build"](spark, "/root/testdata/sf0.001").columns == built.columns
+
+
 def test_elo_fold_against_plain_loop(spark):
     rng = random.Random(12)
     rows = random_matches(rng)
