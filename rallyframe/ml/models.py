@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.ml.preprocess import encoder, imputed
 
+PATIENCE = 25
 FAMILIES = ("logistic_regression", "random_forest", "gradient_boosted_trees")
 
 
@@ -33,12 +34,37 @@ class Fitted:
         return out.withColumns({"raw_probability": p, "score": margin}).drop(*[c for c in drop if c not in ("raw_probability", "score")])
 
 
+def best_iteration(losses: list[float], patience: int = PATIENCE) -> int:
+    """Trees up to the least loss, where the search ends after ``patience`` trees without a lesser one."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def _first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    java, spark = model._java_obj, SparkSession.active()
+    kind = spark._jvm.org.apache.spark.ml
+    trees = spark.sparkContext._gateway.new_array(kind.regression.DecisionTreeRegressionModel, n)
+    weights = spark.sparkContext._gateway.new_array(spark._jvm.double, n)
+    for k, (tree, weight) in enumerate(zip(list(java.trees())[:n], list(java.treeWeights())[:n], strict=True)):
+        trees[k], weights[k] = tree, weight
+    return GBTClassificationModel(kind.classification.GBTClassificationModel(java.uid(), trees, weights, java.numFeatures(), java.numClasses()))
+
+
 def fit(train: DataFrame, numeric: list[str], categorical: list[str], family: str = FAMILIES[0], label: str = "y", trees: int = 400, seed: int = 42) -> Fitted:
     """Fit one family on the training rows.
 
     Logistic regression: L2 with strength 1/n on scaled features.  Boosting
-    stops early on the rows flagged in ``is_tail``, if that column exists.
+    leaves out the rows flagged in ``is_tail``, if that column exists, and keeps
+    the trees up to their least loss (``best_iteration``).
     """
+    tail = None
+    if family in ("gradient_boosted_trees", "xgboost") and "is_tail" in train.columns:
+        train, tail = train.where("not is_tail"), train.where("is_tail")
     prepare = imputed(train, numeric, categorical, scale=family == FAMILIES[0])
     ready = prepare(train)
     pipeline = encoder(numeric, categorical).fit(ready)
@@ -50,11 +76,15 @@ def fit(train: DataFrame, numeric: list[str], categorical: list[str], family: st
     elif family == "random_forest":
         learner = RandomForestClassifier(numTrees=trees, maxDepth=12, seed=seed, **common)
     elif family in ("gradient_boosted_trees", "xgboost"):
-        extra = {"validationIndicatorCol": "is_tail"} if "is_tail" in train.columns else {}
-        learner = GBTClassifier(maxIter=trees, stepSize=0.05, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, **common, **extra)
+        learner = GBTClassifier(maxIter=trees, stepSize=0.05, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, **common)
     else:
         raise ValueError(f"unknown family {family}; known: {FAMILIES}")
-    return Fitted(family, prepare, pipeline, learner.fit(rows))
+    model = learner.fit(rows)
+    if tail is not None:
+        # Spark's own early stopping ends at the first tree that gains too little: it has no patience
+        held = pipeline.transform(prepare(tail)).withColumn("_label", F.col(label).cast("double"))
+        model = _first_trees(model, best_iteration(model.evaluateEachIteration(held)))
+    return Fitted(family, prepare, pipeline, model)
 
 
 def platt(scored: DataFrame, label: str = "y"):

@@ -383,7 +383,12 @@ def pf12_splits(spark, folder):
  o AS (SELECT *, row_number() OVER (ORDER BY as_of_date, canonical_match_id) AS k, count(*) OVER () AS n FROM d)
  SELECT canonical_match_id FROM o WHERE k > n - ceil(0.15 * n)""")
 def wn12_tail(spark, folder):
-    rows = _forecasts(spark, folder).where("as_of_date is not null").select("canonical_match_id", "as_of_date").distinct()
+    return _tail(_forecasts(spark, folder))
+
+
+def _tail(rows: DataFrame) -> DataFrame:
+    """The latest 15% of the matches."""
+    rows = rows.where("as_of_date is not null").select("canonical_match_id", "as_of_date").distinct()
     # the tail by counts per date, then a window within the one date it begins in
     daily = rows.groupBy("as_of_date").agg(F.count(F.lit(1)).alias("n"))
     later = W.orderBy(F.desc("as_of_date")).rowsBetween(W.unboundedPreceding, -1)  # one row per date
@@ -631,7 +636,7 @@ def st04_ranked(spark, folder):
 _FEATURES = ["surface_elo_diff", "elo_diff", "service_first_won_rate_diff", "return_first_won_allowed_rate_diff", "ace_rate_diff", "h2h_win_rate_diff"]
 
 
-def _predictions(spark: SparkSession, folder: str, family: str, calibrator: str = "sigmoid", trees: int = 20) -> DataFrame:
+def _predictions(spark: SparkSession, folder: str, family: str, calibrator: str = "sigmoid", trees: int = 400) -> DataFrame:
     from rallyframe.ml import models
     from rallyframe.ml.dataset import split_of
 
@@ -639,6 +644,8 @@ def _predictions(spark: SparkSession, folder: str, family: str, calibrator: str
     rows = _dataset(spark, folder, columns).where("as_of_date is not null")
     rows = rows.withColumn("split", split_of(F.col("as_of_date"), "20141231", "20181231")).persist()
     train, validation = rows.where("split = 'train'"), rows.where("split = 'validation'")
+    if family == "gradient_boosted_trees":
+        train = train.join(_tail(train).withColumn("is_tail", F.lit(True)), "canonical_match_id", "left").fillna({"is_tail": False}).persist()
     fitted = models.fit(train, _FEATURES, ["surface", "tourney_level"], family, trees=trees)
     calibrate = (models.platt if calibrator == "sigmoid" else models.isotonic)(fitted.score(validation))
     scored = calibrate(fitted.score(rows.where("split = 'test'")))
@@ -657,7 +664,7 @@ def ml03_random_forest(spark, folder):
 
 @query()
 def ml04_boosted_trees(spark, folder):
-    return _predictions(spark, folder, "gradient_boosted_trees", trees=10)
+    return _predictions(spark, folder, "gradient_boosted_trees")
 
 
 @query()

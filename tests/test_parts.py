@@ -170,6 +170,35 @@ def test_models_and_splits(spark, tmp_path):
         write_bundle(str(folder), fitted.pipeline, "v1", "s1", {})
 
 
+def test_boosting_stops_early_with_patience(spark):
+    assert models.best_iteration([3.0, 2.0, 2.5, 2.4, 1.0, 1.5]) == 5 and models.best_iteration([3.0, 2.0, 2.5, 2.4, 1.0], 2) == 2
+    rows = spark.range(300).select(F.rand(1).alias("x"), (F.col("id") >= 250).alias("is_tail"))
+    rows = rows.withColumn("y", ((F.col("x") > 0.5) != F.col("is_tail")).cast("int"))
+    held = models.fit(rows, ["x"], [], "gradient_boosted_trees", trees=12)
+    plain = models.fit(rows.where("not is_tail").drop("is_tail"), ["x"], [], "gradient_boosted_trees", trees=12)
+    losses = plain.model.evaluateEachIteration(plain.pipeline.transform(plain.prepare(rows.where("is_tail"))).withColumn("_label", F.col("y").cast("double")))
+    n = models.best_iteration(losses)
+    assert n < 12 == plain.model.getNumTrees and held.model.getNumTrees == n
+    assert held.score(rows).where("raw_probability between 0 and 1").count() == 300
+
+
+def test_tree_queries_fit_400_trees(spark, monkeypatch):
+    from rallyframe.plans.reference import QUERIES
+
+    fit, seen = models.fit, []
+
+    def short(train, *args, trees=400, **kwargs):
+        tail = train.where("is_tail").count() if "is_tail" in train.columns else 0
+        seen.append((args[2], trees, tail, train.count()))
+        return fit(train, *args, trees=3, **kwargs)
+
+    monkeypatch.setattr(models, "fit", short)
+    for name in ("ml03_random_forest", "ml04_boosted_trees"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+    assert [(f, t) for f, t, _, _ in seen] == [("random_forest", 400), ("gradient_boosted_trees", 400)]
+    assert seen[0][2] == 0 and 0.1 < seen[1][2] / seen[1][3] < 0.2 and seen[0][3] == seen[1][3]
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, "2024-01-01 00:00:00"), ("a", 2, "2024-01-01 00:01:00"), ("b", 1, "2024-01-01 00:02:00"), ("b", 1, "2024-01-01 00:02:00")], "k string, v int, t string")
     rows = rows.withColumn("t", F.to_timestamp("t"))
