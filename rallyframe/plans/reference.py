@@ -431,6 +431,24 @@ def jn15_parity(spark, folder):
     return R.differences(*one).where("side = 'saved'").select("side", "canonical_match_id", "player_a_id", "elo_diff")
 
 
+_VALUES = (
+    "canonical_match_id", "player_a_id", "player_b_id", "as_of_date", "player_a_side", "player_b_side", "surface", "tourney_level", "round_name", "best_of",
+    "player_a_rank", "player_b_rank", "player_a_elo_overall", "player_b_elo_overall", "player_a_form_last_5_win_rate", "player_b_form_last_5_win_rate",
+    "player_a_stats_missing", "player_b_stats_missing", "rank_diff", "elo_diff", "surface_elo_diff", "service_first_won_rate_diff",
+    "return_first_won_allowed_rate_diff", "ace_rate_diff", "h2h_win_rate_diff", "h2h_match_count",
+)
+_VALUES_OF = f"SELECT {', '.join(_VALUES)} FROM modeling_rows WHERE feature_version"
+
+
+@query(f"""SELECT 'saved' AS side, * FROM ({_VALUES_OF} = 'v2' EXCEPT ALL {_VALUES_OF} = 'v1')
+  UNION ALL SELECT 'replayed', * FROM ({_VALUES_OF} = 'v1' EXCEPT ALL {_VALUES_OF} = 'v2')""")
+def jn15_parity_both(spark, folder):
+    """Both sides over all value columns, exactly; ``jn15_parity`` shows one side and three columns, as its SQL says."""
+    rows = table(spark, folder, "modeling_rows")
+    one = [rows.where(F.col("feature_version") == v).select(*_VALUES) for v in ("v2", "v1")]
+    return R.differences(*one).select("side", *_VALUES)
+
+
 @query("""SELECT feature_version, as_of_date, sha256(string_agg(canonical_match_id, chr(10) ORDER BY canonical_match_id) || chr(10)) AS membership_hash
   FROM (SELECT DISTINCT feature_version, coalesce(as_of_date, '') AS as_of_date, canonical_match_id FROM modeling_rows WHERE canonical_match_id IS NOT NULL) GROUP BY feature_version, as_of_date""")
 def ag16_membership_hash(spark, folder):

@@ -199,6 +199,18 @@ def test_tree_queries_fit_400_trees(spark, monkeypatch):
     assert seen[0][2] == 0 and 0.1 < seen[1][2] / seen[1][3] < 0.2 and seen[0][3] == seen[1][3]
 
 
+def test_parity_shows_both_sides_exactly(spark, tmp_path):
+    from rallyframe.plans.reference import QUERIES
+
+    given = spark.read.parquet("/root/testdata/sf0.001/modeling_rows.parquet").where("feature_version = 'v1' and elo_diff is not null").limit(3)
+    same = given.where("true").withColumn("feature_version", F.lit("v2"))
+    first = given.agg(F.min("canonical_match_id")).first()[0]
+    moved = same.withColumn("elo_diff", F.col("elo_diff") + F.when(F.col("canonical_match_id") == first, 0.0001).otherwise(0.0))
+    given.unionByName(moved).write.parquet(f"{tmp_path}/modeling_rows.parquet")
+    got = QUERIES["jn15_parity_both"](spark, str(tmp_path)).collect()
+    assert {r.side for r in got} == {"saved", "replayed"} and {r.canonical_match_id for r in got} == {first}
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, "2024-01-01 00:00:00"), ("a", 2, "2024-01-01 00:01:00"), ("b", 1, "2024-01-01 00:02:00"), ("b", 1, "2024-01-01 00:02:00")], "k string, v int, t string")
     rows = rows.withColumn("t", F.to_timestamp("t"))
