@@ -7,62 +7,118 @@ that advance on a random bit of (step, symbol), shared by both sides: close
 windows (in edit distance) come out with close walks (in Hamming distance).
 Each of ``WALKS * SAMPLES`` hashes reads a few random steps of a walk; a window
 of a document and one of an item that agree in any hash are a candidate pair.
-Candidates are verified by exact weighted edit distance between stretches of
-16 to 24 words of the item and the document around the hit.
 
-Items come to the executors in blocks of bounded size; the corpus is read once
-per block, never shuffled, and only verified pairs leave the scan.
+The corpus is read once, whatever the number of items.  The items' hashes form
+a partitioned index table; only its marks, a bitmap of bounded size, go to the
+executors, and the scan keeps the hashes they admit, with the letters around
+them.  Those are joined to the index by hash, and every stretch of ``SHORTEST``
+to ``LONGEST`` words of the item around a meeting is verified by weighted edit
+distance, or excluded by a bound that is proven not to exceed it.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.llm.text_forms import folded, plain_words
-from rallyframe.util import widened
+from rallyframe.util import materialize, salted_join, shuffle_partitions, widened
 
 WINDOW = 32
 STEPS = 2 * WINDOW
 WALKS = 3
-SAMPLES = 5
-SAMPLED_STEPS = 11
-PROBE_LIMIT = 0.3
-# words of a stretch -> share of it that may be altered; longer stretches bear more alteration
-SPANS = {24: 0.2, 20: 0.155, 16: 0.12}
-INSERTION = 0.08
+SAMPLES = 3
+SAMPLED_STEPS = 10
+SHORTEST, LONGEST = 16, 24
 COMMON = 3
-BLOCK_ITEMS = 4000
-BAND = 30
-_TABLE_BITS = 20
+# edit costs are whole numbers: a word of the item weighs UNIT, an extra letter of the document INSERTION
+UNIT = 500
+INSERTION = 40
+DRIFT = 24
+SPREAD = 8
+BAND = DRIFT + SPREAD
+REGION = 4096
+# one word in CHANGED_OF may be changed, and SLIPS of a word in letters
+CHANGED_OF, SLIPS, CHANGED, LONGER = 8, 0.3, 1 / 3, 0.4
+MARK_BITS = 30
+_BIG = np.uint16(20_000)
 _SENTENCE = re.compile(r"(?<=[.?!])[\"”’']?\s+")
 
 
-def item_passages(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
-    """Words of each item's passage, without opening lines and closing question.
+def allowed_words(words: int) -> float:
+    """How many words of a stretch may be changed, letter slips counted by their share of a word."""
+    return words / CHANGED_OF + SLIPS
 
-    A sentence that opens ``COMMON`` or more items is an opening line; a last
-    sentence ending in a question mark is the question.  What is left empty by
-    that is no passage.
+
+def changed_words(costs: np.ndarray) -> np.ndarray:
+    """Running count of changed words from the running costs of an alignment (in words).
+
+    A word that adds less than ``CHANGED`` is a slip and counts as much; else it
+    counts as one, or what it adds if that is more.  After a changed word up to
+    ``LONGER`` is forgiven: the letters by which the new word is longer.
+    """
+    step = np.diff(costs, axis=0, prepend=0.0)
+    changed = np.zeros(costs.shape[1], bool)
+    for row in step:
+        row -= np.where(changed, np.minimum(row, LONGER), 0.0)
+        changed = row >= CHANGED
+        row[changed] = np.maximum(row[changed], 1.0)
+    return np.cumsum(step, axis=0)
+
+
+# ---- items -------------------------------------------------------------------
+
+
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [_SENTENCE.split(t.strip()) if t and t.strip() else [] for t in batch.column(1).to_pylist()]
+        opening = [folded(p[0]) if len(p) > 1 else None for p in parts]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(parts, pa.list_(pa.string())), pa.array(opening, pa.string())], names=["item_id", "sentences", "opening"]
+        )
+
+
+def passage(sentences: list[str], opened: bool) -> list[str]:
+    """Words of an item without a common opening line and without a closing question."""
+    if len(sentences) > 1 and opened:
+        sentences = sentences[1:]
+    if len(sentences) > 1 and sentences[-1].rstrip("\"”’'").endswith("?"):
+        sentences = sentences[:-1]
+    return plain_words(" ".join(sentences))
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [passage(s, bool(o)) for s, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["item_id", "words"])
+
+
+def item_passages(items: DataFrame) -> DataFrame:
+    """item_id, words of each item's passage, without opening line and closing question.
+
+    A sentence that opens ``COMMON`` or more items is an opening line, counted
+    over the whole table; a last sentence ending in a question mark is the
+    question.  Of several texts under one id the least holds.  What is left
+    empty by that is no passage.
     """
-    split = {i: _SENTENCE.split(t.strip()) for i, t in items if t and t.strip()}
-    opening = Counter(folded(s[0]) for s in split.values() if len(s) > 1)
-    out = {}
-    for i, sentences in split.items():
-        if len(sentences) > 1 and opening[folded(sentences[0])] >= COMMON:
-            sentences = sentences[1:]
-        if len(sentences) > 1 and sentences[-1].rstrip("\"”’'").endswith("?"):
-            sentences = sentences[:-1]
-        if words := plain_words(" ".join(sentences)):
-            out[i] = words
-    return out
+    asked = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
+    asked = asked.groupBy("item_id").agg(F.min("text").alias("text"))
+    split = materialize(asked.mapInArrow(_sentences, "item_id bigint, sentences array<string>, opening string"))
+    common = split.where("opening is not null").groupBy("opening").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    # an opening line may open a third of all items
+    opened = salted_join(split, common.select("opening", F.lit(True).alias("opened")), ["opening"], [F.col("item_id")], "left", 4)
+    words = opened.select("item_id", "sentences", F.coalesce("opened", F.lit(False)).alias("opened"))
+    return words.mapInArrow(_passages, "item_id bigint, words array<string>").where("size(words) > 0")
+
+
+# ---- walks and hashes --------------------------------------------------------
 
 
 def _codes(text: str) -> np.ndarray:
@@ -74,246 +130,410 @@ class WalkHashes:
 
     def __init__(self, seed: int = 20_260):
         rng = np.random.default_rng(seed)
-        self.bits = rng.integers(0, 2, (WALKS, STEPS, 128), dtype=np.int32)
-        self.reads = [[np.sort(rng.choice(STEPS, SAMPLED_STEPS, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
-        self.factors = rng.integers(1, 1 << 62, (WALKS, SAMPLES), dtype=np.uint64) | np.uint64(1)
+        self.bits = rng.integers(0, 2, (WALKS, STEPS, 128), dtype=np.int64)
+        reads = [[set(rng.choice(STEPS, SAMPLED_STEPS, replace=False).tolist()) for _ in range(SAMPLES)] for _ in range(WALKS)]
+        factors = rng.integers(1, 1 << 62, (WALKS, SAMPLES, STEPS), dtype=np.uint64) | np.uint64(1)
+        self.users = [[[(s, factors[w, s, j]) for s in range(SAMPLES) if j in reads[w][s]] for j in range(STEPS)] for w in range(WALKS)]
+        self.last = [max(j for j in range(STEPS) if self.users[w][j]) for w in range(WALKS)]
+        self.salt = rng.integers(1, 1 << 62, (WALKS * SAMPLES, 1), dtype=np.uint64)
 
     def __call__(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """(hashes, windows) of the windows that begin at ``starts`` of ``text`` (padded by WINDOW)."""
-        out = np.zeros((WALKS * SAMPLES, len(starts)), np.uint64)
+        out = np.empty((WALKS * SAMPLES, len(starts)), np.uint64)
+        for k in range(0, len(starts), 8192):  # as much as a core's cache holds
+            out[:, k : k + 8192] = self._block(text, starts[k : k + 8192])
+        return out
+
+    def _block(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        out = np.repeat(self.salt, len(starts), axis=1)
+        term = np.empty(len(starts), np.uint64)
         for w in range(WALKS):
-            at = starts.astype(np.int32)
-            users = [[s for s in range(SAMPLES) if j in self.reads[w][s]] for j in range(STEPS)]
-            last = max(j for j in range(STEPS) if users[j])
-            for j in range(last + 1):
-                symbol = text[at]
-                for s in users[j]:
-                    h = out[w * SAMPLES + s]
-                    h += symbol
-                    h *= self.factors[w, s]
-                    h ^= h >> np.uint64(29)
-                at = at + self.bits[w, j][symbol]
+            at = starts.astype(np.int64)
+            for j in range(self.last[w] + 1):
+                symbol = text.take(at)
+                if self.users[w][j]:
+                    wide = symbol.astype(np.uint64)
+                    for s, factor in self.users[w][j]:
+                        np.multiply(wide, factor, out=term)
+                        out[w * SAMPLES + s] += term
+                at += self.bits[w, j].take(symbol)
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
         return out
 
 
-class ItemIndex:
-    """Hashes of all windows of a block of items, and their words for verification."""
-
-    def __init__(self, passages: dict[int, list[str]]):
-        self.ids = np.array(list(passages), dtype=np.int64)
-        self.words = list(passages.values())
-        self.text = ["".join(w) for w in self.words]
-        self.weight = [np.repeat(1.0 / np.array(list(map(len, w))), list(map(len, w))) for w in self.words]
-        self.starts = [np.cumsum([0, *map(len, w)])[:-1] for w in self.words]
-        self.walk = WalkHashes()
-        owner, word, flat, where, base = [], [], [], [], 0
-        for k, text in enumerate(self.text):
-            full = self.starts[k][self.starts[k] <= max(0, len(text) - WINDOW)]
-            owner += [k] * len(full)
-            word += range(len(full))
-            where.append(full + base)
-            flat.append(text + "\0" * STEPS)
-            base += len(text) + STEPS
-        hashes = self.walk(_codes("".join(flat)), np.concatenate(where)) if owner else np.zeros((WALKS * SAMPLES, 0), np.uint64)
-        self.owner, self.word = np.array(owner, np.int64), np.array(word, np.int64)
-        self.order = np.argsort(hashes, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(hashes, self.order, axis=1)
-        self._mark()
-
-    def _mark(self) -> None:
-        self.seen = np.zeros((len(self.sorted), 1 << _TABLE_BITS), dtype=bool)
-        for s, row in enumerate(self.sorted):
-            self.seen[s][(row >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-
-    def __getstate__(self) -> dict:
-        # the mark table is as large as it is sparse: workers make it anew
-        return {k: v for k, v in self.__dict__.items() if k != "seen"}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._mark()
-
-    def candidates(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (window of the document side, window of the item side) that share a hash."""
-        hashes = self.walk(text, starts)
-        left, right = [], []
-        for s, row in enumerate(hashes):
-            hit = np.flatnonzero(self.seen[s][(row >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
-            lo = np.searchsorted(self.sorted[s], row[hit])
-            n = np.searchsorted(self.sorted[s], row[hit], side="right") - lo
-            hit, lo, n = hit[n > 0], lo[n > 0], n[n > 0]
-            left.append(np.repeat(hit, n))
-            right.append(self.order[s][np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-        return pairs[0], pairs[1]
-
-
-def edit_shares(
-    patterns: list[np.ndarray], weights: list[np.ndarray], text: np.ndarray, at: list[int], insertion: float = INSERTION
-) -> np.ndarray:
-    """Least weighted edits that turn a stretch of ``text`` into each pattern, per pattern weight.
-
-    A wrong or missing character of the pattern costs its weight, an extra one
-    of the text ``insertion``.  The stretch begins, and its alignment stays,
-    within ``BAND`` characters of where the pattern is expected: ``at``.
-    """
-    out = np.zeros(len(patterns))
-    lengths = np.array([len(p) for p in patterns])
-    by_size = np.argsort(lengths, kind="stable")
-    padded = np.concatenate([np.full(BAND + 1, 1, np.uint8), text, np.full(BAND + 1, 1, np.uint8)])
-    begin = np.array(at, dtype=np.int64) + 1
-    band = 2 * BAND + 1
-    slope = (np.arange(band, dtype=np.float32) * insertion)[:, None]
-    for part in np.array_split(by_size, max(1, math.ceil(len(by_size) / 256))):
-        if not len(part):
-            continue
-        long = lengths[part].max()
-        p = np.zeros((long, len(part)), np.uint8)
-        cost = np.zeros((long, len(part)), np.float32)
-        for r, k in enumerate(part):
-            p[: lengths[k], r] = patterns[k]
-            cost[: lengths[k], r] = weights[k]
-        t = padded[np.clip(begin[part] + np.arange(long + band)[:, None], 0, len(padded) - 1)]
-        row = np.zeros((band + 1, len(part)), np.float32)
-        row[band] = 1e9
-        for j in range(long):
-            # along a diagonal: match or replace; from the next one: a pattern character is missing
-            new = np.minimum(row[:-1] + (t[j : j + band] != p[j]) * cost[j], row[1:] + cost[j])
-            new -= slope
-            np.minimum.accumulate(new, axis=0, out=new)
-            new += slope
-            inside = cost[j] > 0
-            row[:-1] = new if inside.all() else np.where(inside, new, row[:-1])
-        out[part] = row[:-1].min(axis=0) / np.maximum(cost.sum(axis=0), 1e-9)
-    return out
-
-
-def _limit(span: int) -> float:
-    return next((limit for words, limit in SPANS.items() if span >= words), min(SPANS.values()))
-
-
-def _turn_order(tests: dict[tuple[int, int, int], int]) -> dict[tuple[int, int, int], int]:
-    """Likeliest stretches first: alternately from the middle of those of each length."""
-    middle = {span: sorted(s for n, s, _ in tests if n == span) for span in {t[0] for t in tests}}
-    middle = {span: x[len(x) // 2] for span, x in middle.items()}
-    return dict(sorted(tests.items(), key=lambda t: (abs(t[0][1] - middle[t[0][0]]), -t[0][0])))
-
-
-def _verified(index: ItemIndex, text: np.ndarray, at: np.ndarray, doc: np.ndarray, win: np.ndarray) -> dict[tuple[int, int], float]:
-    """(document, item) pairs that hold, with their edit share.
-
-    ``at``: position of each candidate's window in ``text`` (documents lie more
-    than ``BAND`` apart); ``doc``: its document; ``win``: item window.
-    """
-    owner, word = index.owner[win], index.word[win]
-    probe = [_codes(index.text[o][index.starts[o][w] : index.starts[o][w] + WINDOW]) for o, w in zip(owner, word, strict=True)]
-    even = [np.ones(len(p), np.float32) for p in probe]
-    near = np.flatnonzero(edit_shares(probe, even, text, list(at), 1.0) <= PROBE_LIMIT)
-    turns: dict[tuple[int, int], dict[tuple[int, int, int], int]] = {}
-    for k in near:
-        o, w, size = owner[k], word[k], len(index.words[owner[k]])
-        at0 = int(at[k] - index.starts[o][w])
-        tests = turns.setdefault((int(doc[k]), int(o)), {})
-        for span in {min(span, size) for span in SPANS}:
-            first, last = max(0, w - span + 1), min(w, size - span)
-            tests.update({(span, s, at0): int(k) for s in range(first, last + 1)})
-    turns = {pair: _turn_order(tests) for pair, tests in turns.items()}
-    found: dict[tuple[int, int], float] = {}
-    open_pairs = {pair: iter(tests.items()) for pair, tests in turns.items()}
-    done: dict[tuple[int, int], set[tuple[int, int, int]]] = {pair: set() for pair in turns}
-    while open_pairs:
-        keys, patterns, weights, places = [], [], [], []
-        for pair in list(open_pairs):
-            for (span, s, at0), k in open_pairs[pair]:
-                coarse = (span, s, at0 // 24)
-                if coarse in done[pair]:
-                    continue
-                done[pair].add(coarse)
-                o = pair[1]
-                starts, size = index.starts[o], len(index.words[o])
-                lo = starts[s]
-                hi = starts[s + span] if s + span < size else len(index.text[o])
-                keys.append((pair, _limit(span)))
-                patterns.append(_codes(index.text[o][lo:hi]))
-                weights.append(index.weight[o][lo:hi])
-                places.append(at0 + lo)
-                break
-            else:
-                del open_pairs[pair]
-        for (pair, limit), share in zip(keys, edit_shares(patterns, weights, text, places), strict=True) if keys else ():
-            if share <= limit and pair in open_pairs:
-                found[pair] = float(share)
-                del open_pairs[pair]
-    return found
+def _starts(words: list[str]) -> np.ndarray:
+    return np.cumsum([0, *map(len, words)])[:-1]
+
 
+def item_windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(letters padded for walks, first word of each window) of an item: every word with a whole window ahead.
+
+    Windows that repeat within the item, with all of their ``LONGEST`` words to
+    either side, can only find the same, so one of each stays.
+    """
+    text, starts = "".join(words), _starts(words)
+    full = np.flatnonzero(starts <= len(text) - WINDOW)
+    if len(set(words)) < len(words):
+        seen: dict[tuple, int] = {}
+        for w in full.tolist():
+            seen.setdefault((min(w, LONGEST), tuple(words[max(0, w - LONGEST) : w + LONGEST + WINDOW])), w)
+        full = np.array(sorted(seen.values()), dtype=np.int64)
+    return _codes(text + "\0" * STEPS), full
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    walk = WalkHashes()
+    for batch in batches:
+        for item, words in zip(batch.column(0), batch.column(1).to_pylist()):
+            text, first = item_windows(words)
+            if not len(first):
+                continue
+            hashes = walk(text, _starts(words)[first]).view(np.int64)
+            size = hashes.size
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes.ravel()), pa.array([item.as_py()] * size, pa.int64()), pa.array(np.tile(first, len(hashes)).astype(np.int32))],
+                names=["hash", "item_id", "word"],
+            )
+
+
+class Marks:
+    """A bitmap that admits every hash of the index and few others; two bits a hash, both in one 64-bit word."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.shift = np.uint64(64 - int(math.log2(len(words))))
+
+    @staticmethod
+    def mask(h: np.ndarray) -> np.ndarray:
+        one, low = np.uint64(1), np.uint64(63)
+        return (one << (h & low)) | (one << ((h >> np.uint64(6)) & low))
+
+    def admit(self, hashes: np.ndarray) -> np.ndarray:
+        h = hashes.view(np.uint64)
+        m = self.mask(h)
+        return (self.words.take((h >> self.shift).astype(np.int64)) & m) == m
+
+    @staticmethod
+    def of(index: DataFrame, total: int) -> Marks:
+        """Marks of the ``hash`` column: 32 bits a hash, at most 2 ** MARK_BITS bits (128 MB) in all.
+
+        Beyond that bound more hashes of the corpus pass on to the join, which
+        drops them: the result stays the same.
+        """
+        bits = min(MARK_BITS, max(16, math.ceil(math.log2(32 * max(1, total)))))
+        shift = 64 - (bits - 6)
+        word = F.shiftrightunsigned("hash", shift)
+        low = lambda n: F.expr(f"shiftleft(1L, cast((hash >> {n}) & 63 as int))")
+        rows = index.select(word.alias("word"), low(0).bitwiseOR(low(6)).alias("mask"))
+        out = np.zeros(1 << (bits - 6), np.uint64)
+        rows = rows.groupBy("word").agg(F.bit_or("mask").alias("mask"))
+        # at most one row for each word of the bitmap, fetched partition by partition
+        for part in rows.toArrow().to_batches():
+            out[part.column(0).to_numpy()] = part.column(1).to_numpy().view(np.uint64)
+        return Marks(out)
+
+
+# ---- corpus scan -------------------------------------------------------------
+
+_REGIONS = "region bigint, doc_id bigint, text string, at array<int>, hash array<bigint>"
+
+
+def _scan(marks, reach: int):
+    """Regions of documents around admitted hashes: letters, and (place in them, hash) of each."""
 
-def _scan(index: ItemIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, known = WalkHashes(), Marks(marks.value)
+        region = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for k in range(0, whole.num_rows, 2048):
-                batch = whole.slice(k, 2048)
-                pieces, starts, docs, base = [], [], [], 0
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                pieces, starts, docs, begins, base = [], [], [], [], 0
                 for d, text in enumerate(batch.column(1).to_pylist()):
                     words = plain_words(text) if text else []
                     if not words:
                         continue
-                    own = np.cumsum([0, *map(len, words)])
-                    own, size = own[:-1], own[-1]
-                    own = own[own <= max(0, size - WINDOW)]
-                    pieces.append("".join(words) + "\0" * STEPS)
+                    letters = "".join(words)
+                    own = _starts(words)
+                    own = own[: np.searchsorted(own, len(letters) - WINDOW, side="right")]
+                    if not len(own):
+                        continue
+                    pieces.append(letters + "\0" * STEPS)
                     starts.append(own + base)
-                    docs.append(np.full(len(own), d))
-                    base += size + STEPS
+                    docs.append((d, base, len(letters)))
+                    base += len(letters) + STEPS
                 if not pieces:
                     continue
-                text, at, doc = _codes("".join(pieces)), np.concatenate(starts), np.concatenate(docs)
-                left, right = [], []
-                for j in range(0, len(at), 1 << 17):
-                    a, b = index.candidates(text, at[j : j + (1 << 17)])
-                    left.append(a + j)
-                    right.append(b)
-                left, right = np.concatenate(left), np.concatenate(right)
-                if not len(left):
+                flat = "".join(pieces)
+                places = np.concatenate(starts)
+                hashes = walk(_codes(flat), places)
+                which, window = np.nonzero(known.admit(hashes))
+                if not len(which):
                     continue
-                found = _verified(index, text, at[left], doc[left], right)
-                if found:
-                    pairs = list(found)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).take(pa.array([p[0] for p in pairs])),
-                            pa.array(index.ids[[p[1] for p in pairs]]),
-                            pa.array([found[p] for p in pairs]),
-                        ],
-                        names=["doc_id", "item_id", "edit_share"],
-                    )
+                order = np.argsort(window, kind="stable")
+                place, value = places[window[order]], hashes[which[order], window[order]].view(np.int64)
+                bases = np.array([b for _, b, _ in docs])
+                owner = np.searchsorted(bases, place, side="right") - 1
+                # a region ends with its document, with a gap that nothing reaches over, or when it is full
+                cut = (np.diff(owner) != 0) | (np.diff(place) > 2 * reach)
+                block = np.zeros(len(place), np.int64)
+                block[1:] = np.cumsum(cut)
+                first = np.concatenate([[0], np.flatnonzero(cut) + 1])
+                part = (place - place[first][block]) // REGION
+                edges = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0) | (np.diff(part) != 0)]))
+                out: list[list] = [[], [], [], [], []]
+                for lo, hi in zip(edges, [*edges[1:], len(place)]):
+                    d, b, size = docs[owner[lo]]
+                    left = max(b, int(place[lo]) - reach)
+                    right = min(b + size, int(place[hi - 1]) + reach)
+                    for column, x in zip(out, (region, d, flat[left:right], (place[lo:hi] - left).astype(np.int32), value[lo:hi])):
+                        column.append(x)
+                    region += 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(out[0], pa.int64()), batch.column(0).take(pa.array(out[1])), pa.array(out[2], pa.string()),
+                        pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.list_(pa.int64())),
+                    ],
+                    names=["region", "doc_id", "text", "at", "hash"],
+                )
 
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+# ---- verification ------------------------------------------------------------
+
+
+def edit_costs(letters: np.ndarray, costs: np.ndarray, text: np.ndarray, band: int = BAND, insertion: int = INSERTION) -> np.ndarray:
+    """Least cost of aligning each first i letters of a pattern, column by column.
+
+    ``letters``, ``costs``: (letters, patterns); a wrong or missing letter costs
+    its cost, an extra letter of the text ``insertion``.  ``text``: (letters +
+    2 * band, patterns), where row ``band`` is where the pattern is expected; its
+    alignment may begin anywhere up to ``band`` (even) letters off and stays so near.
+    Cells are filled along diagonals i + j, so nothing depends on its neighbour.
+    """
+    m, n = letters.shape
+    front = band + 2
+    # differing letters give at least 512 by exclusive or, which bounds every cost from above
+    p = np.zeros((m + 2 * front, n), np.uint16)
+    p[front : front + m] = letters.astype(np.uint16) << 9
+    c = np.zeros((m + 2 * front, n), np.uint16)
+    c[front : front + m] = costs
+    t = np.zeros((m + 2 * band + 2 * front, n), np.uint16)
+    t[front : front + m + 2 * band] = text.astype(np.uint16) << 9
+    best = np.full((m + 1 + 2 * front, n), _BIG, np.uint16)
+    # diagonal d = 2 * i + o; offsets o of even d: -band, -band + 2, ... band; of odd d: -band + 1, ... band - 1
+    one = np.zeros((band + 2, n), np.uint16)  # with an edge row to either side
+    one[0] = one[-1] = _BIG
+    two, cell = np.zeros((band + 1, n), np.uint16), np.empty((band + 1, n), np.uint16)
+    side = np.empty((band + 1, n), np.uint16)
+    ins = np.uint16(insertion)
+    for d in range(-band, 2 * m + band + 1):
+        even = d % 2 == 0
+        count = band + 1 if even else band
+        low = -band if even else -band + 1
+        top = (d - low) // 2  # i of the first cell; the next ones have one letter less each
+        i = slice(front + top - 1, front + top - 1 - count, -1)
+        j = front + band + top + low - 1
+        cost, x, new = c[i], side[:count], cell[:count]
+        np.bitwise_xor(p[i], t[j : j + count], out=new)
+        np.minimum(new, cost, out=new)
+        new += two if even else one[1:-1]
+        np.add(one[1:] if even else two[1:], cost, out=x)  # a letter of the pattern is missing
+        np.minimum(new, x, out=new)
+        np.add(one[:-1] if even else two[:-1], ins, out=x)  # the text has a letter more
+        np.minimum(new, x, out=new)
+        if top < count:
+            new[max(0, top) :] = 0  # no letter of the pattern used yet: any beginning is free
+        rows = best[front + top - count + 1 : front + top + 1]
+        np.minimum(rows, new[::-1], out=rows)
+        if even:
+            two, cell = cell, two
+        else:
+            one[1:-1] = new
+    return best[front : front + m + 1]
+
+
+class Meetings:
+    """Verification of (region, item) pairs, many at once."""
+
+    def __init__(self, texts: list[str], items: list[list[str]], pair_item: np.ndarray):
+        pad = "\0" * (BAND + 2)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.base = np.cumsum(np.concatenate([[0], sizes + len(pad)]))[:-1] + len(pad)
+        self.text = _codes(pad + pad.join(texts) + pad)
+        self.end = self.base + sizes
+        self.item = pair_item
+        self.size = np.array([len(w) for w in items], np.int64)
+        self.first = np.cumsum(np.concatenate([[0], self.size + 1]))[:-1]
+        lengths = np.concatenate([[*map(len, w), 0] for w in items]).astype(np.int64)
+        self.start = np.cumsum(np.concatenate([[0], lengths]))[:-1]  # of each word in all items' letters, and their ends
+        self.letters = _codes("".join("".join(w) for w in items))
+        self.cost = np.repeat(UNIT // np.maximum(lengths, 1), lengths).astype(np.uint16)
+        self.cost[self.cost == 0] = 1
+
+    def run(self, pair: np.ndarray, word: np.ndarray, count: np.ndarray, diagonal: np.ndarray, back: bool) -> np.ndarray:
+        """(LONGEST + 1, runs): least cost of the next 0, 1, ... words from ``word`` on, or of those before it.
+
+        At most ``count`` words; ``diagonal``: where the item's first letter is
+        expected in the pair's text.  Beyond ``count`` the last cost is repeated.
+        """
+        item = self.item[pair]
+        w0 = self.first[item] + word
+        steps = np.minimum(np.arange(LONGEST + 1)[:, None], count)
+        bounds = self.start[w0 - steps] if back else self.start[w0 + steps]
+        here = self.start[w0]
+        taken = here - bounds if back else bounds - here
+        m = max(1, int(taken[-1].max(initial=1)))
+        rows = np.arange(m)[:, None]
+        inside = rows < taken[-1]
+        at = np.where(inside, here - 1 - rows if back else here + rows, 0)
+        letters = np.where(inside, self.letters[at], 0)
+        costs = np.where(inside, self.cost[at], 0)
+        place = self.base[pair] + diagonal + here - self.start[self.first[item]]
+        span = np.arange(-BAND, m + BAND)[:, None]
+        where = place - 1 - span if back else place + span
+        lo, hi = self.base[pair], self.end[pair]
+        text = np.where((where >= lo) & (where < hi), self.text[np.clip(where, 0, len(self.text) - 1)], 1)
+        return np.take_along_axis(edit_costs(letters, costs, text), taken, axis=0)
+
+
+_ALLOWED = np.array([allowed_words(n) for n in range(LONGEST + 1)])
+# what an allowed stretch costs at most: LONGER beyond each changed word
+_COST_BOUND = np.ceil((_ALLOWED + LONGER * np.floor(_ALLOWED)) * UNIT).astype(np.int64)
+# all (words before, words after) a word that make up a stretch
+_BEFORE, _AFTER = (np.array(x)[:, None] for x in zip(*[(n - a, a) for n in range(1, LONGEST + 1) for a in range(1, n + 1)]))
+
+
+def verified(work: Meetings, pairs: list[list[tuple[int, np.ndarray]]], chunk: int = 512) -> dict[int, float]:
+    """Share of changed words of each pair that holds.
+
+    ``pairs``: for each pair its meetings as (diagonal, words of the item).  A
+    pair holds if a stretch of the item around one of those words stands in the
+    text, at most ``DRIFT`` letters off that diagonal, with no more than
+    ``allowed_words`` changed.  For a word in the middle the least costs of what
+    lies before and after it, each aligned on its own, bound every stretch from
+    below; only stretches within the limit go to the exact alignment, and
+    what remains are stretches wholly to one side of that word.
+    """
+    found: dict[int, float] = {}
+    sizes = work.size[work.item]
+    shortest = np.minimum(SHORTEST, sizes)
+    tasks = [(p, diagonal, hits, 0, int(sizes[p])) for p, meetings in enumerate(pairs) for diagonal, hits in meetings]
+    while tasks:
+        later, exact = [], []
+        for k in range(0, len(tasks), chunk):
+            part = [t for t in tasks[k : k + chunk] if t[0] not in found]
+            if not part:
+                continue
+            pair, diagonal, word, low, high = (np.array(x, np.int64) for x in zip(*[(p, g, h[len(h) // 2], lo, hi) for p, g, h, lo, hi in part]))
+            ahead = work.run(pair, word, np.minimum(LONGEST, high - word), diagonal, False).astype(np.int64)
+            behind = work.run(pair, word, np.minimum(LONGEST, word - low), diagonal, True).astype(np.int64)
+            fits = (_BEFORE <= word - low) & (_AFTER <= high - word) & (_BEFORE + _AFTER >= shortest[pair])
+            spare = np.where(fits, _COST_BOUND[_BEFORE + _AFTER] - behind[_BEFORE[:, 0]] - ahead[_AFTER[:, 0]], -1)
+            for r in np.flatnonzero(spare.max(axis=0) >= 0).tolist():
+                p, g, _, _, hi = part[r]
+                good = np.flatnonzero(spare[:, r] >= 0)
+                starts = word[r] - _BEFORE[good[np.argsort(-spare[good, r], kind="stable")], 0]
+                exact.append((p, g, list(dict.fromkeys(starts.tolist())), hi))
+            for (p, g, hits, lo, hi), w in zip(part, word.tolist()):
+                if len(hits) > 1:
+                    mid = len(hits) // 2
+                    if w - lo >= shortest[p]:
+                        later.append((p, g, hits[:mid], lo, w))
+                    if mid + 1 < len(hits) and hi - w - 1 >= shortest[p]:
+                        later.append((p, g, hits[mid + 1 :], w + 1, hi))
+        while exact:
+            again = []
+            for k in range(0, len(exact), chunk):
+                part = [t for t in exact[k : k + chunk] if t[0] not in found]
+                if not part:
+                    continue
+                pair, diagonal, start, high = (np.array(x, np.int64) for x in zip(*[(p, g, s[0], h) for p, g, s, h in part]))
+                cost = work.run(pair, start, np.minimum(LONGEST, high - start), diagonal, False)
+                changed = changed_words(cost / UNIT)
+                words = np.arange(LONGEST + 1)[:, None]
+                held = (words >= shortest[pair]) & (words <= high - start) & (changed <= _ALLOWED[:, None])
+                share = np.where(held, changed / np.maximum(words, 1), np.inf).min(axis=0)
+                for (p, g, s, h), x in zip(part, share.tolist()):
+                    if x < math.inf:
+                        found[p] = min(x, found.get(p, x))
+                    elif len(s) > 1:
+                        again.append((p, g, s[1:], h))
+            exact = again
+        tasks = [t for t in later if t[0] not in found]
+    return found
+
+
+def _meetings(hits: np.ndarray, starts: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Meetings of one pair, (place, word) rows, grouped by diagonals at most ``SPREAD`` letters apart."""
+    diagonal = hits[:, 0] - starts[hits[:, 1]]
+    order = np.lexsort((hits[:, 1], diagonal))
+    diagonal, word = diagonal[order], hits[order, 1]
+    out, lo = [], 0
+    while lo < len(word):
+        hi = int(np.searchsorted(diagonal, diagonal[lo] + SPREAD, side="right"))
+        out.append((int(diagonal[lo] + diagonal[hi - 1]) // 2, np.unique(word[lo:hi])))
+        lo = hi
+    return sorted(out, key=lambda m: -len(m[1]))
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for k in range(0, whole.num_rows, 2048):
+            batch = whole.slice(k, 2048)
+            ids = batch.column(1).to_pylist()
+            place = {i: n for n, i in enumerate(dict.fromkeys(ids))}
+            firsts = {i: n for n, i in reversed(list(enumerate(ids)))}
+            words = [batch.column(3)[firsts[i]].as_py() for i in place]
+            starts = [_starts(w) for w in words]
+            pair_item = np.array([place[i] for i in ids], np.int64)
+            at, word = batch.column(4), batch.column(5)
+            pairs = [
+                _meetings(np.stack([at[r].values.to_numpy(), word[r].values.to_numpy()], axis=1).astype(np.int64), starts[pair_item[r]])
+                for r in range(batch.num_rows)
+            ]
+            found = verified(Meetings(batch.column(2).to_pylist(), words, pair_item), pairs)
+            if found:
+                rows = pa.array(list(found))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(list(found.values()))], names=["doc_id", "item_id", "edit_share"]
+                )
+
+
+def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Documents that hold a passage of an item: doc_id, item_id, edit_share.
 
-    A document holds an item if 16, 20 or 24 words on end of the item's passage
-    (all of a shorter passage) stand in its text with a weighted edit share of at
-    most that of ``SPANS``: each word weighs 1, an extra character of the document
-    ``INSERTION``.  Case, accents, look-alike letters, markup, broken
-    lines and punctuation do not count.  ``edit_share`` is that of the first
-    stretch that held.  Whole texts are searched, however long.  Null and empty
-    texts or items match nothing; an item whose passage is shorter than
-    ``WINDOW`` letters is searched by its only window.  Repeated rows give
-    repeated results.  Further columns are ignored.
+    A document holds an item if ``SHORTEST`` to ``LONGEST`` words on end of the
+    item's passage (all of a shorter passage) stand in its text with at most
+    ``allowed_words`` of them changed (2 of 16, 3 of 24).  The stretch must lie at most
+    ``DRIFT`` letters off the diagonal on which a window of it met one of the
+    document.  Case, accents, look-alike letters, markup, broken lines and
+    punctuation do not count.  ``edit_share`` is the share of changed words of
+    the stretch that was found to hold, the least over the document.  Whole texts are searched, however long.
+    Null and empty texts or items match nothing, nor does an item whose passage
+    is shorter than ``WINDOW`` letters.  Repeated rows give one result.  Either
+    side may be empty; further columns are ignored.
     """
     spark = documents.sparkSession
+    passages = materialize(item_passages(items))
+    index = materialize(passages.mapInArrow(_indexed, "hash bigint, item_id bigint, word int"))
+    reach = passages.agg(F.max(F.length(F.array_join("words", ""))), F.max(F.aggregate("words", F.lit(0), lambda a, x: F.greatest(a, F.length(x))))).first()
+    if reach[0] is None:
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint, edit_share double")
+    # letters that LONGEST words of any item can take, and their drift
+    reach = min(reach[0], LONGEST * reach[1]) + 2 * BAND + WINDOW
+    marks = spark.sparkContext.broadcast(Marks.of(index, index.count()).words)  # at most 2 ** MARK_BITS bits
     slim = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    slim = widened(slim)
-    out = None
-    asked = items.select("item_id", "text").where("item_id is not null").dropDuplicates(["item_id"])
-    total = asked.count()
-    blocks = max(1, math.ceil(total / block_items))
-    for b in range(blocks):
-        # a block of the stated query set: its size is bounded by block_items, whatever the table's
-        rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        index = ItemIndex(item_passages([(r.item_id, r.text) for r in rows]))
-        part = slim.mapInArrow(_scan(index), "doc_id bigint, item_id bigint, edit_share double")
-        out = part if out is None else out.unionAll(part)
-    return out
+    regions = materialize(widened(slim).mapInArrow(_scan(marks, reach), _REGIONS))
+    hits = regions.select("region", F.inline(F.arrays_zip("at", "hash")))
+    # index rows of one hash are few, hits of one hash may be many
+    met = salted_join(hits, index, ["hash"], [F.col("region"), F.col("at")], "inner", 4)
+    met = met.groupBy("region", "item_id").agg(F.collect_set(F.struct("at", "word")).alias("m"))
+    pairs = met.join(regions.select("region", "doc_id", "text"), "region")
+    pairs = salted_join(pairs, passages, ["item_id"], [F.col("region")], "inner", 4)
+    # few bytes, much work a row: not left to sizes
+    pairs = pairs.select("doc_id", "item_id", "text", "words", "m.at", "m.word").repartition(shuffle_partitions(spark))
+    held = pairs.mapInArrow(_verify, "doc_id bigint, item_id bigint, edit_share double")
+    return held.groupBy("doc_id", "item_id").agg(F.min("edit_share").alias("edit_share"))
