@@ -13,7 +13,9 @@ a partitioned index table; only its marks, a bitmap of bounded size, go to the
 executors, and the scan keeps the hashes they admit, with the letters around
 them.  Those are joined to the index by hash, and every stretch of ``SHORTEST``
 to ``LONGEST`` words of the item around a meeting is verified by weighted edit
-distance, or excluded by a bound that is proven not to exceed it.
+distance, or excluded by a bound that is proven not to exceed it.  An index of
+at most ``SMALL_INDEX`` hashes is sent to the scan instead, which then joins
+and verifies on the spot: another plan, the same rows.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ REGION = 4096
 # one word in CHANGED_OF may be changed, and SLIPS of a word in letters
 CHANGED_OF, SLIPS, CHANGED, LONGER = 8, 0.3, 1 / 3, 0.4
 MARK_BITS = 30
+SMALL_INDEX = 1 << 21
 _BIG = np.uint16(20_000)
 _SENTENCE = re.compile(r"(?<=[.?!])[\"”’']?\s+")
 
@@ -237,11 +240,15 @@ class Marks:
 
 # ---- corpus scan -------------------------------------------------------------
 
+_HELD = "doc_id bigint, item_id bigint, edit_share double"
 _REGIONS = "region bigint, doc_id bigint, text string, at array<int>, hash array<bigint>"
 
 
-def _scan(marks, reach: int):
-    """Regions of documents around admitted hashes: letters, and (place in them, hash) of each."""
+def _scan(marks, reach: int, small=None):
+    """Regions of documents around admitted hashes: letters, and (place in them, hash) of each.
+
+    With ``small``, a broadcast :class:`SmallIndex`, the pairs that hold instead.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk, known = WalkHashes(), Marks(marks.value)
@@ -290,6 +297,11 @@ def _scan(marks, reach: int):
                     for column, x in zip(out, (region, d, flat[left:right], (place[lo:hi] - left).astype(np.int32), value[lo:hi])):
                         column.append(x)
                     region += 1
+                if small is not None:
+                    rows, held, share = small.value.held(out[2], out[3], out[4])
+                    taken = batch.column(0).take(pa.array(np.array(out[1], np.int64)[rows]))
+                    yield pa.RecordBatch.from_arrays([taken, pa.array(held), pa.array(share)], names=["doc_id", "item_id", "edit_share"])
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(out[0], pa.int64()), batch.column(0).take(pa.array(out[1])), pa.array(out[2], pa.string()),
@@ -358,12 +370,13 @@ def edit_costs(letters: np.ndarray, costs: np.ndarray, text: np.ndarray, band: i
 class Meetings:
     """Verification of (region, item) pairs, many at once."""
 
-    def __init__(self, texts: list[str], items: list[list[str]], pair_item: np.ndarray):
+    def __init__(self, texts: list[str], items: list[list[str]], pair_text: np.ndarray, pair_item: np.ndarray):
         pad = "\0" * (BAND + 2)
         sizes = np.array([len(t) for t in texts], np.int64)
         self.base = np.cumsum(np.concatenate([[0], sizes + len(pad)]))[:-1] + len(pad)
         self.text = _codes(pad + pad.join(texts) + pad)
-        self.end = self.base + sizes
+        self.end = (self.base + sizes)[pair_text]
+        self.base = self.base[pair_text]
         self.item = pair_item
         self.size = np.array([len(w) for w in items], np.int64)
         self.first = np.cumsum(np.concatenate([[0], self.size + 1]))[:-1]
@@ -494,7 +507,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _meetings(np.stack([at[r].values.to_numpy(), word[r].values.to_numpy()], axis=1).astype(np.int64), starts[pair_item[r]])
                 for r in range(batch.num_rows)
             ]
-            found = verified(Meetings(batch.column(2).to_pylist(), words, pair_item), pairs)
+            found = verified(Meetings(batch.column(2).to_pylist(), words, np.arange(batch.num_rows), pair_item), pairs)
             if found:
                 rows = pa.array(list(found))
                 yield pa.RecordBatch.from_arrays(
@@ -502,7 +515,40 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+class SmallIndex:
+    """The index and the passages of an item table that is small enough to be sent to every task."""
+
+    def __init__(self, index: pa.Table, passages: pa.Table):
+        self.ids = passages["item_id"].to_numpy()
+        order = np.argsort(self.ids)
+        self.ids, self.words = self.ids[order], passages["words"].take(pa.array(order)).to_pylist()
+        self.starts = [_starts(w) for w in self.words]
+        hashes = index["hash"].to_numpy()
+        by_hash = np.argsort(hashes, kind="stable")
+        self.hash = hashes[by_hash]
+        self.item = np.searchsorted(self.ids, index["item_id"].to_numpy())[by_hash]
+        self.word = index["word"].to_numpy()[by_hash].astype(np.int64)
+
+    def held(self, texts: list[str], at: list[np.ndarray], hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item id, share of changed words) of the pairs that hold."""
+        asked = np.concatenate(hashes)
+        text = np.repeat(np.arange(len(texts)), list(map(len, hashes)))
+        lo = np.searchsorted(self.hash, asked)
+        n = np.searchsorted(self.hash, asked, side="right") - lo
+        row = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        met = np.unique(np.stack([np.repeat(text, n), self.item[row], np.repeat(np.concatenate(at), n), self.word[row]], axis=1), axis=0)
+        if not len(met):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(met[:, :2], axis=0) != 0).any(axis=1)]))
+        pair_text, pair_item = met[first, 0], met[first, 1]
+        pairs = [_meetings(part[:, 2:], self.starts[i]) for part, i in zip(np.split(met, first[1:]), pair_item)]
+        used, pair_item = np.unique(pair_item, return_inverse=True)
+        found = verified(Meetings(texts, [self.words[i] for i in used], pair_text, pair_item), pairs)
+        rows = np.array(list(found), np.int64)
+        return pair_text[rows], self.ids[used[pair_item[rows]]], np.array(list(found.values()))
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, small_index: int = SMALL_INDEX) -> DataFrame:
     """Documents that hold a passage of an item: doc_id, item_id, edit_share.
 
     A document holds an item if ``SHORTEST`` to ``LONGEST`` words on end of the
@@ -519,13 +565,21 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     passages = materialize(item_passages(items))
     index = materialize(passages.mapInArrow(_indexed, "hash bigint, item_id bigint, word int"))
-    reach = passages.agg(F.max(F.length(F.array_join("words", ""))), F.max(F.aggregate("words", F.lit(0), lambda a, x: F.greatest(a, F.length(x))))).first()
-    if reach[0] is None:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, edit_share double")
+    letters = F.length(F.array_join("words", ""))
+    longest = F.aggregate("words", F.lit(0), lambda a, x: F.greatest(a, F.length(x)))
+    size = passages.agg(F.max(letters), F.max(longest), F.sum(letters + F.size("words"))).first()
+    if size[0] is None:
+        return spark.createDataFrame([], _HELD)
     # letters that LONGEST words of any item can take, and their drift
-    reach = min(reach[0], LONGEST * reach[1]) + 2 * BAND + WINDOW
-    marks = spark.sparkContext.broadcast(Marks.of(index, index.count()).words)  # at most 2 ** MARK_BITS bits
+    reach = min(size[0], LONGEST * size[1]) + 2 * BAND + WINDOW
+    total = index.count()
+    marks = spark.sparkContext.broadcast(Marks.of(index, total).words)  # at most 2 ** MARK_BITS bits
     slim = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    least = lambda held: held.groupBy("doc_id", "item_id").agg(F.min("edit_share").alias("edit_share"))
+    if total <= small_index and size[2] <= 16 * small_index:
+        # both checked: at most 20 bytes a hash and 32 MB of passages at the default bound
+        whole = spark.sparkContext.broadcast(SmallIndex(index.toArrow(), passages.toArrow()))
+        return least(widened(slim).mapInArrow(_scan(marks, reach, whole), _HELD))
     regions = materialize(widened(slim).mapInArrow(_scan(marks, reach), _REGIONS))
     hits = regions.select("region", F.inline(F.arrays_zip("at", "hash")))
     # index rows of one hash are few, hits of one hash may be many
@@ -535,5 +589,4 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     pairs = salted_join(pairs, passages, ["item_id"], [F.col("region")], "inner", 4)
     # few bytes, much work a row: not left to sizes
     pairs = pairs.select("doc_id", "item_id", "text", "words", "m.at", "m.word").repartition(shuffle_partitions(spark))
-    held = pairs.mapInArrow(_verify, "doc_id bigint, item_id bigint, edit_share double")
-    return held.groupBy("doc_id", "item_id").agg(F.min("edit_share").alias("edit_share"))
+    return least(pairs.mapInArrow(_verify, _HELD))

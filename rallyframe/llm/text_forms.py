@@ -27,10 +27,17 @@ def folded(text: str) -> str:
     return "".join(c for c in plain if not unicodedata.combining(c)).translate(_LOOK_ALIKES)
 
 
+_LOOKS = re.compile(f"[{''.join(map(chr, _LOOK_ALIKES))}]")
+
+
 def plain_words(text: str) -> list[str]:
     """Words of ``text`` between blanks, each as its a-z and 0-9, after markup and hyphenation are undone."""
     if "<" in text:
         text = _MARKUP.sub("", text)
-    if "-" in text or "­" in text or "‐" in text:
+    if "-" in text or "\u00ad" in text or "‐" in text:
         text = _JOINED.sub("", text)
-    return _OTHER.sub("", folded(text)).split()
+    if text.isascii():
+        return _OTHER.sub("", text.lower()).split()
+    # as folded, but marks that combine go with all other characters
+    plain = unicodedata.normalize("NFKD", text.replace("\u00ad", "").lower())
+    return _OTHER.sub("", _LOOKS.sub(lambda m: _LOOK_ALIKES[ord(m.group())], plain)).split()

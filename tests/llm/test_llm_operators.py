@@ -230,7 +230,9 @@ def test_leaks_found_and_short_quotes_not(spark):
     asked = [(i, f"Read this. {t}. What is meant by it?", "clash") for i, t in items.items()] + [(90, None, ""), (91, "", ""), (92, "Read this.", "")]
     d = spark.createDataFrame([*[(*x, 1) for x in docs], (900, None, 1), (901, "", 1), (902, " \n", 1)], "doc_id bigint, text string, item_id int")
     i = spark.createDataFrame(asked, "item_id bigint, text string, doc_id string")
-    got = {(r.doc_id, r.item_id) for r in L.leaked_items(d, i).collect()}
+    got = {tuple(r) for r in L.leaked_items(d, i).collect()}
+    assert got == {tuple(r) for r in L.leaked_items(d, i, 0).collect()}  # joined by hash, not sent to the scan
+    got = {x[:2] for x in got}
     assert len(got & truth) >= 0.97 * len(truth) and not got - truth
     assert L.leaked_items(d, i.where("false")).count() == 0
     assert L.leaked_items(d.where("false"), i).count() == 0
@@ -278,7 +280,7 @@ def searched(passage, texts):
         if hits:
             kept.append(n)
             pairs.append(L._meetings(np.array(sorted(hits)), L._starts(passage)))
-    work = L.Meetings(["".join(texts[n]) for n in kept], [passage], np.zeros(len(kept), np.int64))
+    work = L.Meetings(["".join(texts[n]) for n in kept], [passage], np.arange(len(kept)), np.zeros(len(kept), np.int64))
     return {kept[p] for p in L.verified(work, pairs)}
 
 
@@ -321,7 +323,7 @@ def test_exclusion_bound_never_exceeds_the_alignment():
     passage = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))) for _ in range(30)]
     for _ in range(20):
         text = [x if rng.random() < 0.7 else "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))) for x in passage]
-        work = L.Meetings(["".join(text)], [passage], np.zeros(1, np.int64))
+        work = L.Meetings(["".join(text)], [passage], np.zeros(1, np.int64), np.zeros(1, np.int64))
         one = lambda w, n, back: work.run(np.array([0]), np.array([w]), np.array([n]), np.array([0]), back)[:, 0].astype(int)
         for s in range(0, 14):
             whole = one(s, 16, False)
