@@ -58,59 +58,73 @@ def _interval(number: Column, prefix: Column) -> Column:
     return F.when(prefix.startswith(HEX16), F.shiftright(number, 48)).otherwise(F.shiftright(number, INTERVAL_BITS))
 
 
-def key_runs(keys: DataFrame) -> DataFrame:
-    """Runs (prefix, interval, first, last) of the distinct keys in column ``key``."""
+def key_runs(keys: DataFrame, label: str | None = None) -> DataFrame:
+    """Runs (prefix, interval, first, last) of the distinct keys in column ``key``, per ``label`` if given."""
+    own = [label] if label else []
     prefix, number = split_key(F.col("key"))
-    numbers = keys.where("key is not null").select(prefix.alias("prefix"), number.alias("n")).distinct()
+    numbers = keys.where("key is not null").select(*own, prefix.alias("prefix"), number.alias("n")).distinct()
     numbers = numbers.withColumn("interval", _interval(F.col("n"), F.col("prefix")))
-    nth = F.row_number().over(W.partitionBy("prefix", "interval").orderBy("n"))
+    nth = F.row_number().over(W.partitionBy(*own, "prefix", "interval").orderBy("n"))
     return (
         numbers.withColumn("island", F.col("n") - nth)
-        .groupBy("prefix", "interval", "island")
+        .groupBy(*own, "prefix", "interval", "island")
         .agg(F.min("n").alias("first"), F.max("n").alias("last"))
         .drop("island")
     )
 
 
-def missing_keys(referenced: DataFrame, parent: DataFrame) -> DataFrame:
-    """Distinct keys of ``referenced.key`` that ``parent.key`` lacks."""
+def missing_keys(referenced: DataFrame, parents: DataFrame) -> DataFrame:
+    """Distinct (parent, key) of ``referenced`` that ``parents`` (parent, key) lacks; ``parent`` labels the table meant."""
     prefix, number = split_key(F.col("key"))
-    asked = referenced.where("key is not null").distinct().select("key", prefix.alias("prefix"), number.alias("first"))
+    asked = referenced.where("key is not null").select("parent", "key").distinct().select("parent", "key", prefix.alias("prefix"), number.alias("first"))
     asked = asked.withColumn("interval", _interval(F.col("first"), F.col("prefix")))
-    runs = key_runs(parent).select(
-        F.lit(None).cast("string").alias("key"), "prefix", "first", "interval", "last", F.lit(0).alias("tag")
+    runs = key_runs(parents, "parent").select(
+        "parent", F.lit(None).cast("string").alias("key"), "prefix", "first", "interval", "last", F.lit(0).alias("tag")
     )
     both = runs.unionByName(asked.withColumn("last", F.lit(None).cast("bigint")).withColumn("tag", F.lit(1)))
-    until = W.partitionBy("prefix", "interval").orderBy("first", "tag").rowsBetween(W.unboundedPreceding, W.currentRow)
+    until = W.partitionBy("parent", "prefix", "interval").orderBy("first", "tag").rowsBetween(W.unboundedPreceding, W.currentRow)
     reach = both.withColumn("reach", F.last("last", ignorenulls=True).over(until))
-    return reach.where("tag = 1 and (reach is null or first > reach)").select("key")
+    return reach.where("tag = 1 and (reach is null or first > reach)").select("parent", "key")
 
 
-def orphans(references: list[Reference], salts: int = 16) -> DataFrame:
+def orphans(references: list[Reference], salts: int = 8, periods: bool = True) -> DataFrame:
     """Orphan references of each table and column.
 
-    Result: source_table, ref_column, period, record_id, missing_id; one row
-    for each distinct record.  Null references, and records with a null id,
-    give no row; a null period is reported as ''.  Parent rows count however
-    late they came and however often they are repeated; other columns of
-    either table are ignored.  An empty parent makes every reference an orphan;
-    an empty child gives no rows.
+    Result: source_table, ref_column, period (unless not ``periods``), record_id,
+    missing_id; one row for each distinct record.  Null references, and records
+    with a null id, give no row; a null period is reported as ''.  Parent rows
+    count however late they came and however often they are repeated; other
+    columns of either table are ignored.  An empty parent makes every reference
+    an orphan; an empty child gives no rows.
+
+    All columns of one child are unpivoted in one scan, and each parent is
+    compressed once, however many columns refer to it.
     """
-    out = None
-    for r in references:
-        rows = r.child.select(
-            F.lit(r.source_table).alias("source_table"), F.lit(r.column).alias("ref_column"),
-            F.coalesce(r.period.cast("string"), F.lit("")).alias("period"),
-            F.col(r.record_id).cast("string").alias("record_id"), F.col(r.column).cast("string").alias("missing_id"),
-        ).where("missing_id is not null and record_id is not null")
-        parent = r.parent.select(F.col(r.parent_key).cast("string").alias("key"))
-        gone = missing_keys(rows.select(F.col("missing_id").alias("key")), parent).select(F.col("key").alias("missing_id"))
-        hits = salted_join(rows, gone, ["missing_id"], [F.col("record_id")], "left_semi", salts)
-        hits = hits.select("source_table", "ref_column", "period", "record_id", "missing_id").distinct()
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
+    if not references:
         raise ValueError("no references given")
-    return out
+    labels: dict[tuple[int, str], int] = {}
+    parents, children = None, {}
+    for r in references:
+        name = (id(r.parent), r.parent_key)
+        if name not in labels:
+            labels[name] = len(labels)
+            keys = r.parent.select(F.lit(labels[name]).alias("parent"), F.col(r.parent_key).cast("string").alias("key"))
+            parents = keys if parents is None else parents.unionByName(keys)
+        period = [F.coalesce(r.period.cast("string"), F.lit("")).alias("period")] if periods else []
+        cell = F.struct(
+            F.lit(r.source_table).alias("source_table"), F.lit(r.column).alias("ref_column"), *period,
+            F.col(r.record_id).cast("string").alias("record_id"), F.lit(labels[name]).alias("parent"), F.col(r.column).cast("string").alias("key"),
+        )
+        children.setdefault(id(r.child), (r.child, []))[1].append(cell)
+    rows = None
+    for child, cells in children.values():
+        part = child.select(F.inline(F.array(*cells))).where("key is not null and record_id is not null")
+        rows = part if rows is None else rows.unionByName(part)
+    gone = missing_keys(rows, parents)
+    # one missing id may be named by a third of all rows
+    hits = salted_join(rows, gone, ["parent", "key"], [F.col("record_id")], "left_semi", salts)
+    kept = ["source_table", "ref_column", *(["period"] if periods else []), "record_id"]
+    return hits.select(*kept, F.col("key").alias("missing_id")).distinct()
 
 
 def orphans_by_period(references: list[Reference], **options) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyframe.operators.asof_snapshots import attributes_at
+from rallyframe.operators.asof_snapshots import attributes_at, history
 from rallyframe.operators.orphans import Reference, orphans, orphans_by_period
 from rallyframe.operators.record_quarantine import failed_records, load_records, loaded_records
 from rallyframe.operators.snapshot_diff import snapshot_changes
@@ -64,8 +64,7 @@ def _references(spark: SparkSession, folder: str) -> list[Reference]:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = orphans(_references(spark, folder))
-    return found.select("source_table", "ref_column", "record_id", "missing_id").distinct()
+    return orphans(_references(spark, folder), periods=False)
 
 
 def p4_by_period(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,9 +77,8 @@ def _ranks_at_match(spark: SparkSession, folder: str) -> DataFrame:
         "canonical_match_id", "as_of_date", F.explode(F.array("player_a_id", "player_b_id")).alias("canonical_player_id")
     )
     rankings = table(spark, folder, "canonical_rankings").where("rank is not null")
-    return attributes_at(
-        sides, "canonical_player_id", "as_of_date", rankings, "canonical_player_id", "ranking_date", "canonical_ranking_id"
-    )
+    known = history(rankings, "canonical_player_id", "ranking_date", "canonical_ranking_id")
+    return attributes_at(sides, "canonical_player_id", "as_of_date", known)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

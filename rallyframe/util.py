@@ -99,9 +99,9 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return ranked.select(*df.columns, rank.cast("bigint").alias(name))
 
 
-def null_safe_hash(columns: list[str]) -> Column:
-    """64-bit row hash in which a null and a value, or a shifted null, differ."""
-    parts: list[Column] = []
+def null_safe_hash(columns: list[str], seed: str | None = None) -> Column:
+    """64-bit row hash in which a null and a value, or a shifted null, differ; ``seed`` gives another one."""
+    parts: list[Column] = [F.lit(seed)] if seed else []
     for c in columns:
         parts += [F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))]
     return F.xxhash64(*parts)

@@ -3,9 +3,9 @@ from bisect import bisect_right
 
 from pyspark.sql import functions as F
 
-from rallyframe.operators.asof_snapshots import attributes_at
+from rallyframe.operators.asof_snapshots import attributes_at, history
 from rallyframe.operators.orphans import Reference, key_runs, orphans, orphans_by_period
-from rallyframe.operators.snapshot_diff import snapshot_changes, with_chunks
+from rallyframe.operators.snapshot_diff import chunk_digests, listed_keys, snapshot_changes, with_chunks
 from rallyframe.util import global_rank, materialize, purge, salted_join
 
 
@@ -46,12 +46,20 @@ def test_snapshot_changes_against_dictionaries(spark):
     assert changes_of(frame.withColumn("k", F.lit(None).cast("string"))) == {}
 
 
-def test_chunks_cut_alike_in_every_delivery(spark):
-    rows = spark.createDataFrame([(d, f"{k:04}") for d in ("a", "b") for k in range(300) if d == "a" or k != 7], "delivery string, key string")
-    chunks = with_chunks(rows, 8).collect()
-    assert len({r.chunk for r in chunks}) > 8
-    by = {d: {r.key: r.chunk for r in chunks if r.delivery == d} for d in "ab"}
-    assert all(by["a"][k] == c for k, c in by["b"].items())
+def test_values_before_and_after(spark):
+    rows = [("1", "a", 0, "x", 1), ("1", "b", 0, "y", None), ("2", "a", 0, "z", 1), ("2", "a", 1, "x", 2), ("2", "c", 0, None, None)]
+    frame = spark.createDataFrame(rows, "d string, k string, seq int, a string, b int")
+    got = {r.key: (r.change, r.before, r.after) for r in snapshot_changes(frame, F.col("d"), "k", ["seq"], ["a", "b"], values=True).collect()}
+    assert got == {"a": ("changed", ("x", 1), ("x", 2)), "b": ("removed", ("y", None), None), "c": ("added", None, (None, None))}
+
+
+def test_chunk_digests_stand_for_their_delivery_alone(spark):
+    rows = spark.createDataFrame([(d, f"{k:04}", 0, k) for d in ("a", "b") for k in range(300) if d == "a" or k != 7], "d string, key string, seq int, v int")
+    digests = lambda x: {(r.delivery, r.chunk): (r.n, r.a, r.b) for r in chunk_digests(with_chunks(listed_keys(x, F.col("d"), "key", ["seq"], ["v"]), 8)).collect()}
+    both = digests(rows)
+    assert both == digests(rows.where("d = 'a'")) | digests(rows.where("d = 'b'")) and len(both) > 16
+    alike = [c for d, c in both if d == "a" and both.get(("b", c)) == both[("a", c)]]
+    assert len(alike) >= sum(d == "a" for d, _ in both) - 2
 
 
 def test_orphans_against_sets(spark):
@@ -79,18 +87,22 @@ def test_runs_are_contiguous(spark):
 def test_attributes_at_against_bisection(spark):
     rng = random.Random(6)
     days = [f"20{y:02}{m:02}{d:02}" for y in (20, 21, 23) for m in (1, 2, 12) for d in (1, 15, 28)]
-    log = [(rng.choice("abc"), rng.choice(days)) for _ in range(60)]
+    log = [(rng.choice("abc"), rng.choice(days[:-4])) for _ in range(60)]
     log = [(e, d, f"{e}{d}", "x") for e, d in log]
-    events = [(n, rng.choice(["a", "b", "c", "z", None]), rng.choice([*days, None])) for n in range(300)]
+    events = [(n, rng.choice(["a", "b", "c", "z", None]), rng.choice([*days, "20300101", "soon", None])) for n in range(300)]
     changes = spark.createDataFrame([*log, (None, days[0], "n", ""), ("a", None, "n", ""), ("a", days[0], None, "")], "ent string, d string, v string, n string")
     frame = spark.createDataFrame([(*e, "old") for e in events], "n int, ent string, day string, version string")
-    got = {r.n: r.version for r in attributes_at(frame, "ent", "day", changes, "ent", "d", "v").collect()}
+    known = history(changes, "ent", "d", "v")
+    got = {r.n: r.version for r in attributes_at(frame, "ent", "day", known).collect()}
     for n, e, d in events:
-        known = sorted(x[1] for x in log if x[0] == e)
-        k = bisect_right(known, d) if d else 0
-        assert got[n] == (f"{e}{known[k - 1]}" if k else None)
-    assert attributes_at(frame, "ent", "day", changes.where("false"), "ent", "d", "v").where("version is not null").count() == 0
-    assert attributes_at(frame.where("false"), "ent", "day", changes, "ent", "d", "v").count() == 0
+        dates = sorted(x[1] for x in log if x[0] == e)
+        k = bisect_right(dates, d) if d and d.isdigit() else 0
+        assert got[n] == (f"{e}{dates[k - 1]}" if k else None)
+    # a snapshot for every period from the one after the first change to the one after the last of all
+    spans = {r.entity: (r.a, r.b, r.n) for r in known.snapshots.groupBy("entity").agg(F.min("period").alias("a"), F.max("period").alias("b"), F.count("period").alias("n")).collect()}
+    assert all(b == known.last + 1 and n == b - a + 1 for a, b, n in spans.values()) and set(spans) == {x[0] for x in log}
+    assert attributes_at(frame, "ent", "day", history(changes.where("false"), "ent", "d", "v")).where("version is not null").count() == 0
+    assert attributes_at(frame.where("false"), "ent", "day", known).count() == 0
 
 
 def test_global_rank_and_salted_join(spark):
