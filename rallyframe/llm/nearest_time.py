@@ -1,14 +1,15 @@
 """Pairing of records with the nearest record in time of the same entity.
 
 Method: both tables are range-partitioned together by (entity, time), so a hot
-entity spreads over as many tasks as it needs.  Every task scans its sorted
+entity spreads over as many tasks as it needs.  Every task streams its sorted
 rows once and keeps, for each left row, the last right row before and the first
-one after it.  What lies beyond a partition's edge comes from a parallel prefix
+one after it; it holds no more than the last right row and the left rows since.  What lies beyond a partition's edge comes from a parallel prefix
 scan over the partitions' edge records, one row per partition and direction.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import Window as W
 from rallyframe.util import materialize, shuffle_partitions
 
 BLOCK = 64
+PART_ROWS = 2_000_000
 _NAMES = ["kind", "part", "entity", "at", "id", "before_at", "before_id", "after_at", "after_id"]
 _SCHEMA = (
     "kind int, part int, entity string, at bigint, id string, "
@@ -35,13 +37,10 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    rows = pa.Table.from_batches(held).combine_chunks()
+def _resolved(rows: pa.Table, asked: int, part: int) -> pa.RecordBatch:
+    """The left rows among the first ``asked`` rows with the nearest right rows of their entity before and after."""
+    rows = rows.combine_chunks()
     n = rows.num_rows
-    part = TaskContext.get().partitionId()
     entity, ids = rows["entity"].combine_chunks(), rows["id"].combine_chunks()
     at = rows["at"].to_numpy()
     right = rows["side"].to_numpy() == 0
@@ -57,7 +56,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     end = ends[np.cumsum(new) - 1]
     before = np.maximum.accumulate(np.where(right, index, -1))
     after = np.minimum.accumulate(np.where(right, index, n)[::-1])[::-1]
-    asks = np.flatnonzero(~right & ~repeated)
+    asks = np.flatnonzero(~right[:asked] & ~repeated[:asked])
     b, a = before[asks], after[asks]
     has_b, has_a = b >= begin[asks], a < end[asks]
     b, a = np.where(has_b, b, 0), np.where(has_a, a, 0)
@@ -66,7 +65,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return values.take(pa.array(where, mask=~has))
 
     stamps = pa.array(at)
-    yield pa.RecordBatch.from_arrays(
+    return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(len(asks), ROW, np.int32)), pa.array(np.full(len(asks), part, np.int32)),
             entity.take(pa.array(asks)), stamps.take(pa.array(asks)), ids.take(pa.array(asks)),
@@ -74,14 +73,35 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ],
         names=_NAMES,
     )
-    rights = np.flatnonzero(right)
-    if len(rights):
-        edge = pa.array([rights[0], rights[-1]])
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId()
+    held: list[pa.RecordBatch] = []  # the last right row, and the rows since
+    first = last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rights = np.flatnonzero(batch.column("side").to_numpy() == 0)
+        if not len(rights):
+            continue
+        first = first or batch.slice(rights[0], 1)
+        last = batch.slice(rights[-1], 1)
+        rows = pa.Table.from_batches(held)
+        known = rows.num_rows - batch.num_rows + int(rights[-1])
+        yield _resolved(rows, known, part)
+        held = [batch.slice(rights[-1])]
+    if held and any(b.num_rows for b in held):
+        rows = pa.Table.from_batches(held)
+        yield _resolved(rows, rows.num_rows, part)
+    if first is not None:
+        edge = pa.Table.from_batches([first, last]).combine_chunks()
         none = pa.nulls(2, pa.int64()), pa.nulls(2, pa.string())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([FIRST_RIGHT, LAST_RIGHT], pa.int32()), pa.array([part, part], pa.int32()),
-                entity.take(edge), stamps.take(edge), ids.take(edge), none[0], none[1], none[0], none[1],
+                *[edge[c].combine_chunks() for c in ("entity", "at", "id")], none[0], none[1], none[0], none[1],
             ],
             names=_NAMES,
         )
@@ -121,7 +141,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_us: int | None)
     sides = [x.select("entity", "at", "id", F.lit(s).alias("side")) for x, s in ((right, 0), (left, 1))]
     rows = sides[0].unionByName(sides[1]).where("entity is not null and at is not null and id is not null")
     key = ["entity", "at", "side", "id"]
-    placed = rows.repartitionByRange(shuffle_partitions(spark), *key).sortWithinPartitions(*key)
+    # measured, so that a task's share stays the same whatever the table's size
+    parts = max(shuffle_partitions(spark), math.ceil(rows.count() / PART_ROWS))
+    placed = rows.repartitionByRange(parts, *key).sortWithinPartitions(*key)
     scanned = materialize(placed.mapInArrow(_scan, _SCHEMA))
     edge = F.struct("entity", "at", "id")
     parts = scanned.select("part").distinct()
