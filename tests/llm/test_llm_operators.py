@@ -196,6 +196,28 @@ def test_encoding_round_trip_of_random_text():
         assert b"".join(tokens[i] for i in flat[offsets[n] : offsets[n + 1]]).decode() == t
 
 
+def test_hot_family_names_are_cut_by_given_names(spark, monkeypatch):
+    rng = random.Random(11)
+    given = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    given = list(dict.fromkeys(given))
+    known = spark.createDataFrame([(f"e{n}", f"{g.title()} Nguyen") for n, g in enumerate(given)], "entity string, name string")
+    typed = spark.createDataFrame([(f"NGUYEN, {g.title()}",) for g in given[:20]] + [("N. Nguyen",)], "name string")
+    nobody = spark.createDataFrame([], "entity string, name string")
+    links = lambda: {r.name: r.entity for r in N.link_variants(typed, known, nobody).collect()}
+    whole = links()
+    monkeypatch.setattr(N, "HOT_BLOCK", 8)
+    assert links() == whole and len(whole) >= 18
+
+
+def test_typed_names_link_through_each_other(spark):
+    known = spark.createDataFrame([("e1", "Viktor Halmström"), ("e2", "Ana Perekola")], "entity string, name string")
+    typed = spark.createDataFrame([("Victor Halmstrom",), ("V Halmstrom",), ("Nobody Atall",)], "name string")
+    got = {r.name: r.entity for r in N.link_variants(typed, known, known.where("false")).collect()}
+    assert got == {"Victor Halmstrom": "e1", "V Halmstrom": "e1"}
+    empty = N.link_variants(typed.where("false"), known, known.where("false"))
+    assert empty.count() == 0 and N.link_variants(typed, known.where("false"), known.where("false")).count() == 0
+
+
 # ---- leakage -----------------------------------------------------------------
 
 FILLER = "the quick summary of an ordinary day at the club with nothing at all to report from any of the courts".split()
