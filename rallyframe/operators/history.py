@@ -102,11 +102,14 @@ def last_date_before(rows: DataFrame) -> DataFrame:
     return rows.join(known, ["player", "cohort"]).withColumn("rest_days", F.datediff(day("tourney_date"), day("last_date")))
 
 
-def recent_form(rows: DataFrame, windows: tuple[int, ...] = FORM_WINDOWS) -> DataFrame:
-    """Player rows with win rate and count of the last k results before the cohort (null rate where none)."""
+def recent_form(rows: DataFrame, windows: tuple[int, ...] = FORM_WINDOWS, cohort: str = "cohort", after: bool = False) -> DataFrame:
+    """Player rows with win rate and count of the last k results before the cohort (null rate where none).
+
+    With ``after`` also those that include the row's own result.
+    """
     longest = max(windows)
     inside = W.partitionBy("player", "year").orderBy(*SEQ).rowsBetween(-longest, -1)
-    opening = W.partitionBy("player", "year", "cohort").orderBy(*SEQ)
+    opening = W.partitionBy("player", "year", cohort).orderBy(*SEQ)
     tails = rows.groupBy("player", "year").agg(
         F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(*SEQ, "won")))), 1, longest).alias("tail")
     )
@@ -115,21 +118,23 @@ def recent_form(rows: DataFrame, windows: tuple[int, ...] = FORM_WINDOWS) -> Dat
     carried = tails.select("player", "year", F.flatten(F.collect_list("tail").over(earlier)).alias("_carried"))
     out = rows.withColumn("_own", F.collect_list("won").over(inside)).withColumn("_own", F.first("_own").over(opening))
     out = out.join(carried, ["player", "year"]).withColumn("_seen", F.concat("_carried", "_own"))
+    seen = {"": F.col("_seen")} | ({"_after": F.concat("_seen", F.array("won"))} if after else {})
     for k in windows:
-        part = F.slice(F.reverse("_seen"), 1, k)
-        won = F.aggregate(part, F.lit(0), lambda a, x: a + x)
-        out = out.withColumn(f"form_{k}_count", F.size(part).cast("bigint")).withColumn(
-            f"form_{k}_win_rate", F.try_divide(won.cast("double"), F.size(part))
-        )
+        for end, results in seen.items():
+            part = F.slice(F.reverse(results), 1, k)
+            won = F.aggregate(part, F.lit(0), lambda a, x: a + x)
+            out = out.withColumn(f"form_{k}_count{end}", F.size(part).cast("bigint")).withColumn(
+                f"form_{k}_win_rate{end}", F.try_divide(won.cast("double"), F.size(part))
+            )
     return out.drop("_own", "_carried", "_seen")
 
 
-def head_to_head(rows: DataFrame) -> DataFrame:
+def head_to_head(rows: DataFrame, cohort: str = "cohort") -> DataFrame:
     """Player rows with earlier meetings of the pair and the player's wins among them."""
     both = rows.withColumn("pair", F.concat_ws("::", F.least("player", "opponent"), F.greatest("player", "opponent")))
     both = both.withColumn("first_won", (F.col("won") == (F.col("player") < F.col("opponent")).cast("int")).cast("int"))
     one = both.where("player < opponent").withColumn("met", F.lit(1))
-    known = sums_before(one, ["pair"], "year", "cohort", list(SEQ), ["met", "first_won"])
+    known = sums_before(one, ["pair"], "year", cohort, list(SEQ), ["met", "first_won"])
     known = known.select("canonical_match_id", "pair", "met_before", "first_won_before")
     out = both.join(known, ["canonical_match_id", "pair"])
     wins = F.when(F.col("player") < F.col("opponent"), F.col("first_won_before")).otherwise(F.col("met_before") - F.col("first_won_before"))
@@ -144,7 +149,6 @@ def ranking_as_of(rows: DataFrame, rankings: DataFrame) -> DataFrame:
     last delivered; null players, dates and ranks say nothing.
     """
     from rallyframe.operators.relational import holds
-    from rallyframe.util import salted_join
 
     valid = rankings.where("canonical_player_id is not null and ranking_date is not null and rank is not null")
     order = ["lineage_source_snapshot_root", "lineage_source_file_path", "lineage_source_row_number"]
@@ -161,7 +165,8 @@ def ranking_as_of(rows: DataFrame, rankings: DataFrame) -> DataFrame:
     until = W.partitionBy("player").orderBy("at", "tag").rowsBetween(W.unboundedPreceding, W.currentRow)
     known = both.withColumn("k", F.last("s", ignorenulls=True).over(until)).where("tag = 1")
     known = known.select("player", F.col("at").alias("tourney_date"), F.col("k.at").alias("ranking_date"), "k.rank", "k.points", "k.previous_rank")
-    out = salted_join(rows, known, ["player", "tourney_date"], [F.col("canonical_match_id")], "left", 4)
+    # a key is a player on one date: no salts, adaptive execution splits the odd hot one
+    out = rows.join(known, ["player", "tourney_date"], "left")
     day = lambda c: F.to_date(c, "yyyyMMdd")
     return (
         out.withColumn("rank_change", F.col("rank") - F.col("previous_rank"))
@@ -175,7 +180,8 @@ def elo_fold(matches: DataFrame, group: str | None = None) -> DataFrame:
 
     The recurrence runs through all players of a group (a surface, a tour), so
     it is sequential within one; groups run in parallel.  Rows stream through in
-    sorted Arrow batches: memory holds one rating per player, never the matches.
+    sorted Arrow batches: memory holds one rating per player of the group at hand,
+    never the matches.
     """
     name = F.coalesce(F.col(group), F.lit("")) if group else F.lit("all")
     slim = matches.select(name.alias("grp"), *SEQ, F.col("winner_canonical_player_id").alias("winner"), F.col("loser_canonical_player_id").alias("loser"))
@@ -183,15 +189,19 @@ def elo_fold(matches: DataFrame, group: str | None = None) -> DataFrame:
     ordered = placed.sortWithinPartitions("grp", *SEQ)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratings: dict[tuple[str, str], float] = {}
+        ratings: dict[str, float] = {}
+        at = None
         for batch in batches:
             grp, ids = batch.column(0).to_pylist(), batch.column(batch.num_columns - 3)
             out: list[list[float]] = [[], [], [], []]
             for g, w, l in zip(grp, batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                a, b = ratings.get((g, w), ELO_START), ratings.get((g, l), ELO_START)
+                if g != at:
+                    ratings.clear()
+                    at = g
+                a, b = ratings.get(w, ELO_START), ratings.get(l, ELO_START)
                 new_a = a + ELO_STEP * (1 - 1 / (1 + 10 ** ((b - a) / ELO_SCALE)))
                 new_b = b - ELO_STEP / (1 + 10 ** ((a - b) / ELO_SCALE))
-                ratings[(g, w)], ratings[(g, l)] = new_a, new_b
+                ratings[w], ratings[l] = new_a, new_b
                 for column, value in zip(out, (a, new_a, b, new_b)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, out)], names=["canonical_match_id", "winner_pre", "winner_post", "loser_pre", "loser_post"])
@@ -268,9 +278,14 @@ def stats_before(rows: DataFrame) -> DataFrame:
 
 
 def pair_rate(rows: DataFrame) -> DataFrame:
-    """Head-to-head win rate: null below ``PAIR_SAMPLE`` earlier meetings."""
-    enough = F.col("h2h_count") >= PAIR_SAMPLE
-    return rows.withColumn("h2h_win_rate", F.when(enough, F.try_divide(F.col("h2h_wins"), F.col("h2h_count"))))
+    """Head-to-head win rate: null below ``PAIR_SAMPLE`` earlier meetings, with flags for none and too few."""
+    met = F.col("h2h_count")
+    return rows.withColumns(
+        {
+            "h2h_win_rate": F.when(met >= PAIR_SAMPLE, F.try_divide(F.col("h2h_wins"), met)),
+            "h2h_missing": met == 0, "h2h_low_sample": (met > 0) & (met < PAIR_SAMPLE),
+        }
+    )
 
 
 def audit_counts(rows: DataFrame) -> DataFrame:
@@ -280,3 +295,84 @@ def audit_counts(rows: DataFrame) -> DataFrame:
     parts = [("matches", F.col("played_before"), F.lit(1)), ("wins", F.col("won_before"), F.col("won"))]
     metrics = F.array(*[F.struct(F.lit(n).alias("metric"), pre.cast("bigint").alias("pre"), (pre + d).cast("bigint").alias("post")) for n, pre, d in parts])
     return out.select("canonical_match_id", "player", F.inline(metrics))
+
+
+def _steps(rows: DataFrame, parts: list[tuple[str, Column, Column, Column | None, Column | None]]) -> DataFrame:
+    none = F.lit(None).cast("bigint")
+    cells = [
+        F.struct(
+            F.lit(name).alias("metric"), pre.cast("double").alias("pre_value"), post.cast("double").alias("post_value"),
+            (none if n is None else n.cast("bigint")).alias("pre_count"), (none if m is None else m.cast("bigint")).alias("post_count"),
+        )
+        for name, pre, post, n, m in parts
+    ]
+    return rows.select("canonical_match_id", "player", F.inline(F.array(*cells)))
+
+
+def form_audit(rows: DataFrame) -> DataFrame:
+    """Form just before and after each match, in match order (also within a cohort)."""
+    out = recent_form(rows, cohort="canonical_match_id", after=True)
+    rate, count = (lambda k, end, what=what: F.col(f"form_{k}_{what}{end}") for what in ("win_rate", "count"))
+    return _steps(out, [(f"form_last_{k}_win_rate", rate(k, ""), rate(k, "_after"), count(k, ""), count(k, "_after")) for k in FORM_WINDOWS])
+
+
+def stats_audit(rows: DataFrame) -> DataFrame:
+    """Serve statistics just before and after each match that has any; ``rows`` as from :func:`with_match_stats`."""
+    out = sums_before(rows, ["player"], "year", "canonical_match_id", list(SEQ), _STAT_SUMS).where("stat_matches = 1")
+    pre = {c: F.col(f"{c}_before") for c in _STAT_SUMS}
+    post = {c: F.col(f"{c}_before") + F.coalesce(c, F.lit(0)) for c in _STAT_SUMS}
+
+    def rate(top: str, below: str, complete: bool = False) -> tuple[Column, Column]:
+        both = [F.try_divide(x[top], F.nullif(x[below], F.lit(0))) for x in (pre, post)]
+        return tuple(F.when(x["aces_unknown"] == 0, r) if complete else r for x, r in zip((pre, post), both))
+
+    return _steps(
+        out,
+        [
+            ("service_first_won_rate", *rate("first_won", "served"), pre["served"], post["served"]),
+            ("return_first_won_allowed_rate", *rate("first_won_against", "served_against"), pre["served_against"], post["served_against"]),
+            ("ace_rate", *rate("aces", "served", True), pre["served"], post["served"]),
+            ("stats_match_count", pre["stat_matches"], post["stat_matches"], None, None),
+        ],
+    )
+
+
+def pair_audit(rows: DataFrame) -> DataFrame:
+    """Head-to-head record just before and after each match, in match order."""
+    out = head_to_head(rows.where("player <> opponent"), "canonical_match_id")
+    n, s = F.col("h2h_count"), F.col("h2h_wins")
+    rate = lambda wins, met: F.when(met >= PAIR_SAMPLE, F.try_divide(wins.cast("double"), met))
+    return _steps(
+        out,
+        [
+            ("head_to_head_win_rate", rate(s, n), rate(s + F.col("won"), n + 1), n, n + 1),
+            ("head_to_head_match_count", n, n + 1, None, None),
+        ],
+    )
+
+
+def elo_audit(matches: DataFrame) -> DataFrame:
+    """Ratings of both players just before and after each match, over all and on its surface."""
+    out = None
+    for name, group in (("elo_overall", None), ("elo_surface", "surface")):
+        fold = elo_fold(matches, group).join(matches.select("canonical_match_id", "winner_canonical_player_id", "loser_canonical_player_id"), "canonical_match_id")
+        sides = F.inline(F.array(*[F.struct(F.col(f"{s}_canonical_player_id").alias("player"), F.col(f"{s}_pre").alias("pre"), F.col(f"{s}_post").alias("post")) for s in ("winner", "loser")]))
+        part = _steps(fold.select("canonical_match_id", sides), [(name, F.col("pre"), F.col("post"), None, None)])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def state_audit(rows: DataFrame, matches: DataFrame, with_stats: DataFrame | None = None) -> DataFrame:
+    """Every metric just before and after each match: canonical_match_id, player, metric, pre_value, post_value, pre_count, post_count."""
+    parts = [form_audit(rows), pair_audit(rows), elo_audit(matches), *([stats_audit(with_stats)] if with_stats is not None else [])]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def side_rows(snapshots: DataFrame, shared: list[str], own: list[str]) -> DataFrame:
+    """One row per match: the ``shared`` columns, and each side's ``own`` columns as player_a_..., player_b_...; a is the winner."""
+    side = lambda won, p: snapshots.where(F.col("won") == won).select("canonical_match_id", *[F.col(c).alias(f"player_{p}_{c}") for c in own])
+    common = snapshots.where("won = 1").select("canonical_match_id", *[c for c in shared if c != "canonical_match_id"])
+    return common.join(side(1, "a"), "canonical_match_id").join(side(0, "b"), "canonical_match_id")

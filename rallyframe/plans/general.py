@@ -9,6 +9,7 @@ from rallyframe.operators.asof_snapshots import attributes_at, history
 from rallyframe.operators.orphans import Reference, orphans, orphans_by_period
 from rallyframe.operators.record_quarantine import failed_records, load_records, loaded_records
 from rallyframe.operators.snapshot_diff import snapshot_changes
+from rallyframe.plans.sql_records import RECORDS_SQL
 from rallyframe.sources.tables import table
 
 SNAPSHOT_FIELDS = ["status", "title", "yes_sub_title", "no_sub_title", "close_time", "yes_bid_dollars", "yes_ask_dollars"]
@@ -23,6 +24,10 @@ def p1_failed_records(spark: SparkSession, folder: str) -> DataFrame:
     return failed_records(table(spark, folder, "raw_csv_lines"), table(spark, folder, "file_quarantine_records"))
 
 
+def p1_failed_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_failed_records(spark, folder).drop("offset")
+
+
 def p1_loaded_records(spark: SparkSession, folder: str) -> DataFrame:
     loaded = loaded_records(table(spark, folder, "raw_csv_lines"), table(spark, folder, "file_quarantine_records"))
     return loaded.withColumn("values", F.to_json("values"))
@@ -89,7 +94,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_failed_records, p1_loaded_records, p1_reason_counts,
+        p1_found, p1_failed_records, p1_failed_columns, p1_loaded_records, p1_reason_counts,
         p2_found, p2_change_counts, p4_found, p4_by_period, p5_found,
     )
 }
@@ -129,6 +134,9 @@ _ORPHANS = " UNION ALL ".join(
 )
 
 ORACLES = {
+    "p1_found": f"WITH {RECORDS_SQL} SELECT DISTINCT line_id FROM records WHERE reason IS NOT NULL AND line_id IS NOT NULL",
+    "p1_failed_columns": f"WITH {RECORDS_SQL} SELECT line_id, relative_path, line_number, reason, col AS \"column\" FROM records WHERE reason IS NOT NULL",
+    "p1_reason_counts": f"WITH {RECORDS_SQL} SELECT coalesce(reason, 'loaded') AS reason, count(*) AS records FROM records GROUP BY ALL",
     "p2_found": f"{_LISTED} SELECT ticker, delivery_hour, change FROM found WHERE change IS NOT NULL",
     "p2_change_counts": f"{_LISTED} SELECT delivery_hour, change, count(*) AS tickers FROM found WHERE change IS NOT NULL GROUP BY ALL",
     "p4_found": f"SELECT DISTINCT source_table, ref_column, record_id, missing_id FROM ({_ORPHANS})",

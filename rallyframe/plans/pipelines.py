@@ -111,8 +111,9 @@ def feature_tables(matches: DataFrame, rankings: DataFrame, stats: DataFrame | N
         H.elo_before(rows, once), H.elo_before(rows, once, "surface", "surface_elo"), H.recent_form(rows), H.last_date_before(rows),
         H.pair_rate(H.head_to_head(rows)), H.ranking_as_of(rows, rankings),
     ]
-    if stats is not None:
-        parts.append(H.stats_before(materialize(H.with_match_stats(rows, stats))))
+    with_stats = None if stats is None else materialize(H.with_match_stats(rows, stats))
+    if with_stats is not None:
+        parts.append(H.stats_before(with_stats))
     sides = rows
     for part in parts:
         sides = sides.join(part.drop(*[c for c in sides.columns if c not in key]), key)
@@ -123,9 +124,16 @@ def feature_tables(matches: DataFrame, rankings: DataFrame, stats: DataFrame | N
     met = sides.where("won = 1").select("canonical_match_id", F.col("h2h_count").cast("bigint").alias("h2h_match_count"))
     known = once.select("canonical_match_id", F.col("tourney_date").alias("as_of_date"), *passed)
     differentials = H.differential(sides, FEATURES).join(met, "canonical_match_id").join(known, "canonical_match_id")
-    return {"snapshots": sides, "differentials": differentials, "audit": H.audit_counts(rows)}
+    own = [c for c in sides.columns if c not in (*H.SEQ, "cohort", "surface", "year", "won", "opponent")]
+    return {
+        "snapshots": sides, "differentials": differentials, "audit": H.state_audit(rows, once, with_stats),
+        "side_rows": H.side_rows(sides, ["canonical_match_id", "tourney_date", "surface"], own),
+    }
 
 
-def persist(tables: dict[str, DataFrame], folder: str, partition_by: dict[str, list[str]] | None = None) -> None:
+def persist(tables: dict[str, DataFrame], folder: str, partition_by: dict[str, list[str]] | None = None, empty: bool = True) -> None:
+    """Replace the tables of a folder; with ``empty=False`` an empty one is an error and nothing is written."""
+    if not empty and (none := sorted(n for n, rows in tables.items() if rows.isEmpty())):
+        raise ValueError(f"empty: {', '.join(none)}")
     for name, rows in tables.items():
         replace_table(rows, f"{folder}/{name}.parquet", (partition_by or {}).get(name))

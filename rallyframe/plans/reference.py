@@ -225,24 +225,6 @@ def wn03_cohorts(spark, folder):
     return H.cohorts(_matches(spark, folder)).withColumn("round_order", F.col("round_order").cast("bigint"))
 
 
-@query()
-def wn04_elo(spark, folder):
-    matches = _matches(spark, folder)
-    return H.elo_before(H.player_rows(matches), matches).select("canonical_match_id", "player", _round("elo"))
-
-
-@query()
-def wn05_surface_elo(spark, folder):
-    matches = _matches(spark, folder).withColumn("surface", F.coalesce("surface", F.lit("")))
-    return H.elo_before(H.player_rows(matches), matches, "surface").select("canonical_match_id", "player", "surface", _round("elo"))
-
-
-@query()
-def wn13_elo_audit(spark, folder):
-    fold = H.elo_fold(_matches(spark, folder))
-    return fold.select("canonical_match_id", *[_round(c) for c in ("winner_pre", "winner_post", "loser_pre", "loser_post")])
-
-
 @query(f"""WITH {_PLAYERS}, c AS (SELECT DISTINCT player, cohort, tourney_date, round_order FROM r),
  b AS (SELECT player, cohort, max(tourney_date) OVER (PARTITION BY player ORDER BY tourney_date, round_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_date FROM c)
  SELECT canonical_match_id, player, last_date, date_diff('day', strptime(last_date, '%Y%m%d')::DATE, strptime(tourney_date, '%Y%m%d')::DATE)::DOUBLE AS rest_days
@@ -345,12 +327,6 @@ def _delivered_stats(spark: SparkSession, folder: str) -> DataFrame:
         *[whole(f"{c}{n}", f"{name}_player{n}") for c, name in (("1stWon", "first_won"), ("svpt", "serve_points"), ("ace", "ace")) for n in (1, 2)],
     )
 
-@query()
-def jn03_match_stats(spark, folder):
-    """Serve statistics of delivered files, looked up by file name and line of each match."""
-    rows = H.stats_before(materialize(H.with_match_stats(_players(spark, folder), _delivered_stats(spark, folder))))
-    return rows.select("canonical_match_id", "player", "first_won", "served", "aces", "stats_missing", _round("service_rate"))
-
 
 @query()
 def dc06_feature_build(spark, folder):
