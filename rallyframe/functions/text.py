@@ -38,5 +38,16 @@ def json_array(values: Column) -> Column:
     return F.to_json(values)
 
 
+def currency(value: Column) -> Column:
+    """Dollars with two decimals; null stays null."""
+    return F.when(value.isNotNull(), F.format_string("$%.2f", value))
+
+
+def year_of(date: Column) -> Column:
+    """First four characters of a date text; a shorter text raises, null stays null."""
+    short = F.raise_error(F.concat(F.lit("no date: "), date))
+    return F.when(F.length(date) < 4, short).otherwise(F.substring(date, 1, 4))
+
+
 def percent(value: Column) -> Column:
     return F.format_string("%.1f%%", value * 100)

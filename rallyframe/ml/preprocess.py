@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def feature_groups(rows: DataFrame, left_out: list[str]) -> tuple[list[str], list[str]]:
+    """(numeric, categorical) columns of a table but for those left out, in table order.
+
+    Text and flags are categorical, everything else numeric; a column without a
+    type of its own (all null) is numeric.
+    """
+    kinds = {f.name: f.dataType.typeName() for f in rows.schema if f.name not in left_out}
+    words = [c for c, kind in kinds.items() if kind in ("string", "boolean", "varchar", "char")]
+    return [c for c in kinds if c not in words], words
+
+
 def numeric_statistics(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Exact median, mean, population deviation and nulls of each column, in one pass."""
     parts = [

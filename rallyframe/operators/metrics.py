@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from rallyframe.util import materialize
+
 BINS = 10
 EPS = 2.220446049250313e-16
 
@@ -93,7 +99,8 @@ def equity_curve(records: DataFrame) -> DataFrame:
     peaks = tops.select("date", F.coalesce(F.max("_top").over(before), F.lit(0.0)).alias("_peak"))
     run = run.join(peaks, "date").withColumn("peak", F.greatest(F.lit(0.0), "_peak", F.max("cumulative").over(inside)))
     run = run.withColumn("roi", F.coalesce(F.try_divide("cumulative", "staked"), F.lit(0.0)))
-    return run.select("date", "id", "profit", "cumulative", "staked", "roi", "peak", (F.col("peak") - F.col("cumulative")).alias("drawdown"))
+    further = [c for c in records.columns if c not in ("date", "id", "profit", "stake")]
+    return run.select("date", "id", "profit", *further, "cumulative", "staked", "roi", "peak", (F.col("peak") - F.col("cumulative")).alias("drawdown"))
 
 
 def equity_summary(records: DataFrame) -> DataFrame:
@@ -104,20 +111,40 @@ def equity_summary(records: DataFrame) -> DataFrame:
     )
 
 
+def full_summary(records: DataFrame) -> DataFrame:
+    """Summary of results with an ``edge`` column; all rates are 0 without rows or stakes."""
+    zero = F.lit(0.0)
+    out = equity_curve(records).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("profit") > 0).alias("wins"), F.coalesce(F.avg(F.coalesce("edge", zero)), zero).alias("average_edge"),
+        F.coalesce(F.sum(F.greatest("profit", zero)), zero).alias("gross"), F.coalesce(F.sum("profit"), zero).alias("net"),
+        F.coalesce(F.max("staked"), zero).alias("staked"), F.coalesce(F.max("drawdown"), zero).alias("max_drawdown"),
+    )
+    rates = {"win_rate": F.coalesce(F.try_divide("wins", "n"), zero), "roi": F.coalesce(F.try_divide("net", "staked"), zero)}
+    return out.withColumns(rates)
+
+
 def bootstrap_mean(rows: DataFrame, column: str, resamples: int = 512, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """Bootstrap interval of a mean by Poisson weights: one pass, any number of rows, no collect.
 
-    Each row draws a Poisson(1) weight for each resample from a hash of its
-    content, its id and the resample's number; weights are summed map-side.
+    Each row draws a Poisson(1) weight for each resample; a batch keeps only the
+    sums of its resamples.  Draws are seeded by a row's partition and place, so
+    equal rows draw on their own; the rows are written first, which fixes both.
+    Null values are left out.
     """
-    draws = rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = (F.pmod(F.xxhash64(*rows.columns, "_r", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += term
-        weight = weight + (u > total).cast("int")
-        term /= k
-    sums = draws.withColumn("_w", weight).groupBy("_r").agg(F.sum(F.col("_w") * F.col(column)).alias("s"), F.sum("_w").alias("w"))
+    placed = materialize(rows.select(F.col(column).cast("double").alias("x")).where("x is not null"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        sums, weights = np.zeros(resamples), np.zeros(resamples)
+        for batch in batches:
+            x = batch.column(0).to_numpy()
+            for k in range(0, len(x), 4096):
+                w = rng.poisson(1.0, (len(x[k : k + 4096]), resamples))
+                sums += x[k : k + 4096] @ w
+                weights += w.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(sums), pa.array(weights)], names=["r", "s", "w"])
+
+    sums = placed.mapInArrow(run, "r bigint, s double, w double").groupBy("r").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
     means = sums.select(F.try_divide("s", "w").alias("mean"))
     tail = (1 - confidence) / 2
     return means.agg(F.percentile("mean", tail).alias("lower"), F.percentile("mean", 1 - tail).alias("upper"), F.count(F.lit(1)).alias("resamples"))

@@ -574,10 +574,10 @@ _RESULTS = f"""{_FORECASTS}, e AS (SELECT as_of_date AS date, canonical_match_id
  k AS (SELECT *, greatest(0, max(cumulative) OVER (ORDER BY date, id ROWS UNBOUNDED PRECEDING)) AS peak FROM c)"""
 
 
-def _results(spark: SparkSession, folder: str) -> DataFrame:
+def _results(spark: SparkSession, folder: str, *further: Column) -> DataFrame:
     profit = F.when(F.col("y") == 1, 0.5).otherwise(-0.5)
     return _forecasts(spark, folder).where("as_of_date is not null").select(
-        F.col("as_of_date").alias("date"), F.col("canonical_match_id").alias("id"), F.lit(0.5).alias("stake"), profit.alias("profit")
+        F.col("as_of_date").alias("date"), F.col("canonical_match_id").alias("id"), F.lit(0.5).alias("stake"), profit.alias("profit"), *further
     )
 
 
