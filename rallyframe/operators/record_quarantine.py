@@ -187,6 +187,19 @@ def _wrong(family: FileFamily, cell: Column) -> Column:
     )
 
 
+def typed_failure(family: FileFamily, columns: list[str]) -> Column:
+    """struct(column, reason) of the first column of a row that fails under ``family``; null if none does.  Nulls count as empty."""
+    cells = [(c, F.struct(F.lit(c).alias("name"), F.coalesce(F.col(f"`{c}`"), F.lit("")).alias("value"))) for c in columns]
+    found = [F.when(reason.isNotNull(), F.struct(F.lit(c).alias("column"), reason.alias("reason"))) for c, x in cells if (reason := _wrong(family, x)) is not None]
+    return F.coalesce(*found) if found else F.lit(None).cast("struct<column:string,reason:string>")
+
+
+def family_of(path: str, families: tuple[FileFamily, ...] = FAMILIES) -> FileFamily | None:
+    """The family that a file's name prefix tells."""
+    name = path.rsplit("/", 1)[-1].lower()
+    return next((f for f in families if name.startswith(f.prefix)), None)
+
+
 def _cells(family: FileFamily) -> Column:
     zipped = F.arrays_zip(
         F.col("header").alias("name"), F.col("t.fields").alias("value"), F.col("t.starts").alias("start")

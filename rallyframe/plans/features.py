@@ -58,7 +58,9 @@ def wn13_elo_audit(spark, folder):
 
 # ---- audits in match order ----
 
-_VALUES = ["canonical_match_id", "player", "metric", *[_round(c) for c in ("pre_value", "post_value")], *[F.col(c).cast("double").alias(c) for c in ("pre_count", "post_count")]]
+def _values(rows):
+    counts = [F.col(c).cast("double").alias(c) for c in ("pre_count", "post_count")]
+    return rows.select("canonical_match_id", "player", "metric", _round("pre_value"), _round("post_value"), *counts)
 
 
 def _form_audit_sql(k: int) -> str:
@@ -70,7 +72,7 @@ def _form_audit_sql(k: int) -> str:
 
 @query(f"WITH {_PLAYERS} {' UNION ALL '.join(_form_audit_sql(k) for k in H.FORM_WINDOWS)}")
 def wn13_form_audit(spark, folder):
-    return H.form_audit(_players(spark, folder)).select(*_VALUES)
+    return _values(H.form_audit(_players(spark, folder)))
 
 
 @query(f"""WITH {_PLAYERS}, k AS (SELECT *, least(player, opponent) || '::' || greatest(player, opponent) AS pair FROM r WHERE player <> opponent),
@@ -79,7 +81,7 @@ def wn13_form_audit(spark, folder):
    CASE WHEN n + 1 >= {H.PAIR_SAMPLE} THEN round((s + won) / (n + 1), 6) END AS post_value, n::DOUBLE AS pre_count, (n + 1)::DOUBLE AS post_count FROM o
  UNION ALL SELECT canonical_match_id, player, 'head_to_head_match_count', n, n + 1, NULL, NULL FROM o""")
 def wn13_pair_audit(spark, folder):
-    return H.pair_audit(_players(spark, folder)).select(*_VALUES)
+    return _values(H.pair_audit(_players(spark, folder)))
 
 
 _WITH_STATS = f"""{_PLAYERS}, {STATS_SQL},
@@ -102,7 +104,7 @@ def _rate_audit(name: str, top: str, below: str, complete: bool = False) -> str:
  UNION ALL {_rate_audit("ace_rate", "a", "s", True)} UNION ALL SELECT canonical_match_id, player, 'stats_match_count', m0, m1, NULL, NULL FROM o WHERE usable""")
 def wn13_stats_audit(spark, folder):
     rows = materialize(H.with_match_stats(_players(spark, folder), _delivered_stats(spark, folder)))
-    return H.stats_audit(rows).select(*_VALUES)
+    return _values(H.stats_audit(rows))
 
 
 @query(f"""WITH {_WITH_STATS}, d AS (SELECT *, {", ".join(f"first_value({c}0) OVER k AS {c}b" for c in ("m", "f", "s", "fa", "sa", "a", "x"))} FROM o

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.functions import ids
 from rallyframe.operators import history as H
+from rallyframe.operators.record_quarantine import FAMILIES, typed_failure
 from rallyframe.operators.relational import holds
 from rallyframe.sources import csv_snapshot as C
 from rallyframe.sources.artifacts import replace_table
@@ -33,33 +36,55 @@ def _lineage(repo: str, commit: str, root: str) -> list[Column]:
     ]
 
 
-def canonical_tables(spark: SparkSession, root: str, repo: str, commit: str, row_number_mode: str = "accepted") -> dict[str, DataFrame]:
-    """Canonical tables of a snapshot folder, and ``quarantined_rows``.
+def canonical_tables(
+    spark: SparkSession, root: str, repo: str, commit: str, row_number_mode: str = "accepted", pinned: DataFrame | None = None, strict: bool = False
+) -> dict[str, DataFrame]:
+    """Canonical tables of a snapshot folder, ``quarantined_rows`` and ``failed_rows``.
 
-    Row numbers count the accepted rows of a file from 2 on; with
+    Every row is validated under its family's whole-number and date columns and
+    its file's header; rows that fail are set aside in ``failed_rows``
+    (source_file, source_order, column, reason), or raise if ``strict``.
+    ``pinned``: a manifest that the delivered files must agree with.  Row numbers
+    count the loaded and accepted rows of a file from 2 on; with
     ``row_number_mode='physical'`` they count all its rows.  A family that
     delivered no file gives no table.
     """
     C.checked_commit(commit)
     lineage = _lineage(repo, commit, root)
     text = lambda c: F.trim(F.col(c))
-    whole = lambda c: F.col(c).try_cast("int")
+    whole = lambda c: F.trim(F.col(c)).try_cast("int")
     out: dict[str, DataFrame] = {}
-    files = [r.path for r in C.manifest(spark, root).where(C.file_scope(F.col("path")).isNull()).select("path").collect()]  # file names only
+    found = C.manifest(spark, root)
+    if pinned is not None:
+        C.check_manifest(pinned, found)
+    files = [r.path for r in found.where(C.file_scope(F.col("path")).isNull()).select("path").collect()]  # file names only
+    failures: list[DataFrame] = []
 
     def family(prefix: str) -> DataFrame | None:
         own = [f for f in files if f.rsplit("/", 1)[-1].lower().startswith(prefix + ("." if prefix == "atp_players" else "_")) or f.endswith(f"{prefix}.csv")]
-        return C.read_csv(spark, own, REQUIRED[prefix]) if own else None
+        if not own:
+            return None
+        rows = C.read_csv(spark, own, REQUIRED[prefix])
+        known = next(f for f in FAMILIES if f.prefix.rstrip("_") == prefix)
+        typed = typed_failure(known, [c for c in (*known.integers, *known.optional_integers, *known.dates) if c in rows.columns])
+        count = F.when(F.col("field_failure").isNotNull(), F.struct(F.lit(None).cast("string").alias("column"), F.col("field_failure").alias("reason")))
+        rows = rows.withColumn("failure", F.coalesce(count, typed))
+        if row_number_mode == "physical":
+            rows = C.with_row_numbers(rows)
+        failed = rows.where("failure is not null").select("source_file", "source_order", "failure.column", "failure.reason")
+        if strict and (bad := failed.limit(1).collect()):
+            raise ValueError(f"{bad[0].source_file}: {bad[0].reason} {bad[0].column or ''}".strip())
+        failures.append(failed)
+        loaded = rows.where("failure is null").drop("failure", "field_failure")
+        return loaded if row_number_mode == "physical" or prefix == "atp_matches" else C.with_row_numbers(loaded)
 
     if (rows := family("atp_players")) is not None:
-        rows = C.with_row_numbers(rows)
         players = rows.select(
             ids.player_id(whole("player_id")).alias("canonical_player_id"), whole("player_id").alias("source_player_id"), text("name_first").alias("first_name"),
             text("name_last").alias("last_name"), F.trim(F.concat_ws(" ", text("name_first"), text("name_last"))).alias("full_name"), *lineage,
         )
         out["canonical_players"] = holds(players, ["canonical_player_id"], [F.col("lineage_source_file_path"), F.col("lineage_source_row_number")], last=False)
     if (rows := family("atp_rankings")) is not None:
-        rows = C.with_row_numbers(rows)
         player = ids.player_id(whole("player"))
         out["canonical_rankings"] = rows.select(
             ids.ranking_id(player, F.col("ranking_date")).alias("canonical_ranking_id"), player.alias("canonical_player_id"), text("ranking_date").alias("ranking_date"),
@@ -68,8 +93,6 @@ def canonical_tables(spark: SparkSession, root: str, repo: str, commit: str, row
     if (rows := family("atp_matches")) is not None:
         comment = F.col("comment") if "comment" in rows.columns else F.lit(None).cast("string")
         rows = rows.withColumn("reason", C.row_quarantine(comment, F.col("score"), F.col("round")))
-        if row_number_mode == "physical":
-            rows = C.with_row_numbers(rows)
         out["quarantined_rows"] = rows.where("reason is not null").select("source_file", "source_order", "reason")
         kept = rows.where("reason is null")
         kept = kept if row_number_mode == "physical" else C.with_row_numbers(kept)
@@ -84,12 +107,13 @@ def canonical_tables(spark: SparkSession, root: str, repo: str, commit: str, row
             *shared, text("round").alias("round_name"), whole("best_of").alias("best_of"), text("score").alias("score"), *lineage,
         )
     if (rows := family("atp_matchstats")) is not None:
-        rows = C.with_row_numbers(rows)
         out["canonical_match_stats"] = rows.select(
             F.concat(F.lit("match-stat:sackmann:"), whole("match_id").cast("string")).alias("canonical_match_stat_id"), whole("match_id").alias("source_match_id"),
             whole("1stWon1").alias("first_won_player1"), whole("1stWon2").alias("first_won_player2"), whole("ace1").alias("ace_player1"), whole("ace2").alias("ace_player2"),
             whole("svpt1").alias("serve_points_player1"), whole("svpt2").alias("serve_points_player2"), *lineage,
         )
+    if failures:
+        out["failed_rows"] = functools.reduce(DataFrame.unionByName, failures)
     return out
 
 

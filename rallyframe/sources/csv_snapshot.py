@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import re
 import shutil
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 # Words and names that decide whether a file is in scope, and row exclusions.
@@ -52,6 +54,13 @@ def changed_files(pinned: DataFrame, found: DataFrame) -> DataFrame:
     return both.where(~F.col("pinned").eqNullSafe(F.col("found")))
 
 
+def check_manifest(pinned: DataFrame, found: DataFrame) -> None:
+    """ValueError if a file is missing, new, or differs from its pinned checksum; files are told by name."""
+    name = lambda rows: rows.select(F.substring_index("path", "/", -1).alias("path"), "sha256")
+    if bad := [r.path for r in changed_files(name(pinned), name(found)).select("path").orderBy("path").limit(20).collect()]:
+        raise ValueError(f"files differ from the pinned manifest: {', '.join(bad)}")
+
+
 def copy_snapshot(source: str, target: str, commit: str) -> list[str]:
     """Copy CSV files into ``target/<commit>`` once; an existing folder is an error."""
     folder = Path(target) / checked_commit(commit)
@@ -65,16 +74,50 @@ def copy_snapshot(source: str, target: str, commit: str) -> list[str]:
     return copied
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All-string scan by header name, with ``source_file`` and ``source_order``.
+def file_header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names of a delivered file: its first line, read through the file system of the session."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([(line or "").lstrip("\ufeff").rstrip("\r")]), []))
+
+
+CORRUPT = "_corrupt_record"
+
+
+def read_csv(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
+    """All-string scan by header name, with ``source_file``, ``source_order`` and ``field_failure``.
 
-    Quoted line breaks stay in their field; each file is one split because of that.
+    Files of one call may differ in the order and the set of their columns: each
+    layout is read under its own header, and the layouts are united by name
+    (null where a file has no such column).  ``field_failure`` is ``field_count``
+    for rows whose number of fields is not their header's, else null.  Quoted
+    line breaks stay in their field; each file is one split because of that.
     """
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": False}
-    found = spark.read.options(**options).csv(path)
-    if missing := sorted(set(columns) - set(found.columns)):
-        raise ValueError(f"missing required columns: {', '.join(missing)}")
-    return found.select("*", F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("source_order"))
+    paths = [path] if isinstance(path, str) else list(path)
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:  # one line of each file
+        layouts.setdefault(file_header(spark, p), []).append(p)
+    options = {
+        "header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": False, "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": CORRUPT, "columnPruning": False,
+    }
+    out = None
+    for names, files in layouts.items():
+        if missing := sorted(set(columns) - set(names)):
+            raise ValueError(f"missing required columns: {', '.join(missing)}")
+        schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField(CORRUPT, T.StringType())])
+        rows = spark.read.options(**options).schema(schema).csv(files)
+        rows = rows.select(
+            *[F.col(f"`{n}`") for n in names], F.when(F.col(CORRUPT).isNotNull(), "field_count").alias("field_failure"),
+            F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("source_order"),
+        )
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def with_row_numbers(rows: DataFrame) -> DataFrame:
