@@ -57,11 +57,9 @@ def main(argv: list[str] | None = None) -> int:
         stats = table_if_there(spark, args.folder, "canonical_match_stats")
         pipelines.persist(pipelines.feature_tables(matches, rankings, stats), args.out)
     else:
-        from rallyframe.sources.market_api import MarketPages, typed_markets
+        from rallyframe.sources.market_api import collect_tables, file_transport
 
-        spark.dataSource.register(MarketPages)
-        raw = spark.read.format("market_pages").option("folder", args.recordings).option("paths", args.path).load()
-        pipelines.persist({"markets": typed_markets(raw)}, args.out)
+        pipelines.persist(collect_tables(spark, file_transport(args.recordings), args.path.split(",")), args.out)
     return 0
 
 

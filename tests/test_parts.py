@@ -142,6 +142,19 @@ def test_market_pages(spark, tmp_path):
     got = {r.ticker: r for r in market_api.typed_markets(raw).collect()}
     assert str(got["T1"].yes_bid_dollars) == "0.4000" and got["T1"].can_close_early and got["T1"].close_time.hour == 8
     assert got["T2"].yes_bid_dollars is None and got["T2"].close_time.hour == 10 and got["T2"].page == 1
+    for n, body in {
+        "markets_T1": {"market": page["markets"][0]}, "markets_T1_orderbook": {"orderbook_fp": {"yes_dollars": [["0.31", "5"], ["0.4", "2.5"]], "no_dollars": None}},
+    }.items():
+        (tmp_path / f"{n}.json").write_text(json.dumps(body))
+    tables = market_api.collect_tables(spark, market_api.file_transport(str(tmp_path)), ["markets"], {"limit": 2})
+    assert {k: t.count() for k, t in tables.items()} == {"request_logs": 4, "market_snapshots": 2, "market_detail_snapshots": 1, "orderbook_snapshots": 1}
+    book = tables["orderbook_snapshots"].first()
+    assert (book.ticker, book.yes_level_count, str(book.yes_best_price_dollars), str(book.yes_best_quantity_fp), book.no_level_count, book.no_best_price_dollars) == ("T1", 2, "0.4000", "2.5000", 0, None)
+    assert json.loads(book.yes_levels_json) == [["0.3100", "5.0000"], ["0.4000", "2.5000"]]
+    assert sorted(r.request_cursor or "" for r in tables["request_logs"].collect()) == ["", "", "", "n"]
+    (tmp_path / "markets_T1.json").write_text("{}")
+    with pytest.raises(Exception, match="no market object"):
+        market_api.collect_tables(spark, market_api.file_transport(str(tmp_path)), ["markets"])["market_detail_snapshots"].collect()
     waits, answers = [], iter([(429, {}), (429, {}), (200, {"markets": []})])
     assert market_api.fetch(lambda p, q: next(answers), "markets", {}, sleep=waits.append) == {"markets": []} and waits == [0.25, 0.5]
     with pytest.raises(RuntimeError, match="repeated cursor"):
@@ -151,6 +164,27 @@ def test_market_pages(spark, tmp_path):
     assert market_api.request_id({"b": 1, "a": 2}) == market_api.request_id({"a": 2, "b": 1})
 
 
+def test_strict_helpers(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
+    listed = spark.createDataFrame([("b", 0), ("a", 1), ("z", 2)], "k string, pos int")
+    assert R.in_listed_order(listed, rows, "k").count() == 2 and R.in_listed_order(listed.where("k <> 'z'"), rows, "k", True).count() == 2
+    with pytest.raises(Exception, match="unknown id: z"):
+        R.in_listed_order(listed, rows, "k", True).collect()
+    with pytest.raises(ValueError, match="no rows: x"):
+        R.non_empty(rows.where("false"), "x")
+    other = spark.createDataFrame([("a", 1), ("c", 2), ("d", 3)], "k string, n int")
+    got = {r.n: (r.saved and r.saved.k, r.replayed and r.replayed.k) for r in R.differences_by_position(rows, other, "n").collect()}
+    assert got == {2: ("b", "c"), 3: (None, "d")}
+    dates = spark.createDataFrame([("20190101",), (None,)], "d string").select(text.year_of(F.col("d")).alias("y"), text.currency(F.lit(1.5)).alias("c")).collect()
+    assert [(r.y, r.c) for r in dates] == [("2019", "$1.50"), (None, "$1.50")]
+    with pytest.raises(Exception, match="no date"):
+        spark.createDataFrame([("19",)], "d string").select(text.year_of(F.col("d"))).collect()
+    m = F.create_map(F.lit("a"), F.lit(1))
+    assert spark.range(1).select(R.map_value(m, F.lit("b"), F.lit(9)).alias("x"), R.map_updated(m, F.lit("a"), F.lit(5)).alias("y")).first().asDict() == {"x": 9, "y": {"a": 5}}
+    kinds = preprocess.feature_groups(spark.createDataFrame([], "a int, b string, c boolean, d double, e void"), ["d"])
+    assert kinds == (["a", "e"], ["b", "c"])
+
+
 def test_models_and_splits(spark, tmp_path):
     from rallyframe.ml.registry import load_bundle, write_bundle
 
