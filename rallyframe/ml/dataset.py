@@ -25,3 +25,13 @@ def check_splits(rows: DataFrame) -> DataFrame:
     if sizes.get(None):
         raise ValueError(f"{sizes[None]} rows lie outside the splits")
     return rows
+
+
+def check_boundaries(rows: DataFrame, date: str, train_end: str, validation_end: str, test_end: str) -> DataFrame:
+    """``rows`` with ``split``, if the splits are in order and full and the last row of each lies on its boundary; else ValueError."""
+    placed = check_splits(rows.withColumn("split", split_of(F.col(date), train_end, validation_end, test_end)))
+    last = {r.split: r.last for r in placed.groupBy("split").agg(F.max(date).alias("last")).collect()}
+    want = {"train": train_end, "validation": validation_end, "test": test_end}
+    if off := sorted(s for s, end in want.items() if last[s] != end):
+        raise ValueError(f"the last row does not lie on the boundary of: {', '.join(off)}")
+    return placed

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from rallyframe.ml.preprocess import encoder, imputed
 
 PATIENCE = 25
+PART_ROWS = 100_000
 FAMILIES = ("logistic_regression", "random_forest", "gradient_boosted_trees")
 
 
@@ -68,18 +70,21 @@ def fit(train: DataFrame, numeric: list[str], categorical: list[str], family: st
     prepare = imputed(train, numeric, categorical, scale=family == FAMILIES[0])
     ready = prepare(train)
     pipeline = encoder(numeric, categorical).fit(ready)
-    rows = pipeline.transform(ready).withColumn("_label", F.col(label).cast("double"))
+    rows = pipeline.transform(ready).select("features", F.col(label).cast("double").alias("_label"))
+    # a fit is many short jobs: parts of measured size, kept while it lasts
+    n = max(1, rows.count())
+    rows = rows.coalesce(max(1, math.ceil(n / PART_ROWS))).persist()
     common = {"featuresCol": "features", "labelCol": "_label"}
     if family == "logistic_regression":
-        n = max(1, rows.count())
         learner = LogisticRegression(maxIter=1000, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, **common)
     elif family == "random_forest":
-        learner = RandomForestClassifier(numTrees=trees, maxDepth=12, seed=seed, **common)
+        learner = RandomForestClassifier(numTrees=trees, maxDepth=12, maxMemoryInMB=1024, cacheNodeIds=True, seed=seed, **common)
     elif family in ("gradient_boosted_trees", "xgboost"):
         learner = GBTClassifier(maxIter=trees, stepSize=0.05, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, **common)
     else:
         raise ValueError(f"unknown family {family}; known: {FAMILIES}")
     model = learner.fit(rows)
+    rows.unpersist()
     if tail is not None:
         # Spark's own early stopping ends at the first tree that gains too little: it has no patience
         held = pipeline.transform(prepare(tail)).withColumn("_label", F.col(label).cast("double"))
@@ -87,22 +92,34 @@ def fit(train: DataFrame, numeric: list[str], categorical: list[str], family: st
     return Fitted(family, prepare, pipeline, model)
 
 
-def platt(scored: DataFrame, label: str = "y"):
-    """Sigmoid calibration of ``score`` with Platt's smoothed targets; returns rows -> rows with ``p``."""
+@dataclass
+class Calibrator:
+    """Sigmoid or isotonic map from ``score`` to ``p``; ``model`` can be saved like any other."""
+
+    kind: str
+    model: object
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        if self.kind == "sigmoid":
+            slope, shift = float(self.model.coefficients[0]), float(self.model.intercept)
+            return rows.withColumn("p", 1 / (1 + F.exp(-(F.col("score") * slope + shift))))
+        return self.model.transform(rows).withColumn("p", F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)))
+
+
+def platt(scored: DataFrame, label: str = "y") -> Calibrator:
+    """Sigmoid calibration of ``score`` with Platt's smoothed targets."""
     counts = scored.agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n")).first()
     high, low = (counts.pos + 1.0) / (counts.pos + 2.0), 1.0 / (counts.n - counts.pos + 2.0)
     target = F.when(F.col(label) == 1, F.lit(high)).otherwise(F.lit(low))
     both = scored.select("score", F.explode(F.array(F.struct(F.lit(1.0).alias("l"), target.alias("w")), F.struct(F.lit(0.0).alias("l"), (1 - target).alias("w")))).alias("t"))
     rows = VectorAssembler(inputCols=["score"], outputCol="x").transform(both.select("score", "t.l", "t.w"))
-    model = LogisticRegression(featuresCol="x", labelCol="l", weightCol="w", regParam=0.0, maxIter=100).fit(rows)
-    slope, shift = float(model.coefficients[0]), float(model.intercept)
-    return lambda rows: rows.withColumn("p", 1 / (1 + F.exp(-(F.col("score") * slope + shift))))
+    return Calibrator("sigmoid", LogisticRegression(featuresCol="x", labelCol="l", weightCol="w", regParam=0.0, maxIter=100).fit(rows))
 
 
-def isotonic(scored: DataFrame, label: str = "y"):
+def isotonic(scored: DataFrame, label: str = "y") -> Calibrator:
     """Isotonic calibration of ``score``; values outside are clamped."""
-    model = IsotonicRegression(featuresCol="score", labelCol="_label", predictionCol="p").fit(scored.withColumn("_label", F.col(label).cast("double")))
-    return lambda rows: model.transform(rows).withColumn("p", F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)))
+    learner = IsotonicRegression(featuresCol="score", labelCol="_label", predictionCol="p")
+    return Calibrator("isotonic", learner.fit(scored.withColumn("_label", F.col(label).cast("double"))))
 
 
 def prediction_rows(calibrated: DataFrame, keep: list[str]) -> DataFrame:

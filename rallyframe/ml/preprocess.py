@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
@@ -36,22 +38,29 @@ def most_frequent(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.mode(c, True).cast("string").alias("mode")) for c in columns]).alias("s")).select(F.inline("s"))
 
 
-def imputed(train: DataFrame, numeric: list[str], categorical: list[str], scale: bool = True):
-    """A function that imputes (and scales) any table by the statistics of ``train``."""
-    stats = {r.feature: r for r in numeric_statistics(train, numeric).collect()} if numeric else {}
-    modes = {r.feature: r["mode"] for r in most_frequent(train, categorical).collect()} if categorical else {}
+@dataclass(frozen=True)
+class Preparation:
+    """Imputation (and scaling) by the statistics of a training table; plain values, so it can be saved as JSON."""
+
+    numeric: dict[str, dict[str, float | None]]
+    categorical: dict[str, str | None]
+    scale: bool
 
-    def apply(rows: DataFrame) -> DataFrame:
+    def __call__(self, rows: DataFrame) -> DataFrame:
         out = {}
-        for c in numeric:
-            s = stats[c]
+        for c, s in self.numeric.items():
             x = F.coalesce(F.col(c).cast("double"), F.lit(s["median"] if s["median"] is not None else 0.0))
-            out[c] = (x - F.lit(s["mean"] or 0.0)) / F.lit(s["sd"] or 1.0) if scale else x
-        for c in categorical:
-            out[c] = F.coalesce(F.col(c).cast("string"), F.lit(modes[c] or ""))
+            out[c] = (x - F.lit(s["mean"] or 0.0)) / F.lit(s["sd"] or 1.0) if self.scale else x
+        for c, mode in self.categorical.items():
+            out[c] = F.coalesce(F.col(c).cast("string"), F.lit(mode or ""))
         return rows.withColumns(out)
 
-    return apply
+
+def imputed(train: DataFrame, numeric: list[str], categorical: list[str], scale: bool = True) -> Preparation:
+    """A preparation that imputes (and scales) any table by the statistics of ``train``."""
+    stats = {r.feature: {k: r[k] for k in ("median", "mean", "sd")} for r in numeric_statistics(train, numeric).collect()} if numeric else {}
+    modes = {r.feature: r["mode"] for r in most_frequent(train, categorical).collect()} if categorical else {}
+    return Preparation({c: stats[c] for c in numeric}, {c: modes[c] for c in categorical}, scale)
 
 
 def encoder(numeric: list[str], categorical: list[str]) -> Pipeline:

@@ -9,7 +9,7 @@ from rallyframe.ml.preprocess import feature_groups, most_frequent, numeric_stat
 from rallyframe.operators import metrics as M
 from rallyframe.operators import relational as R
 from rallyframe.operators.record_quarantine import load_records
-from rallyframe.plans.reference import _FORECASTS, _LATEST, _MATCHES, _forecasts, _latest, _matches, _results, _round, query
+from rallyframe.plans.reference import NO_FEATURES, _FORECASTS, _LATEST, _MATCHES, _forecasts, _latest, _matches, _results, _round, query
 from rallyframe.plans.sql_records import RECORDS_SQL
 from rallyframe.sources.csv_snapshot import row_quarantine
 from rallyframe.sources.tables import table
@@ -191,8 +191,6 @@ def ag12_full_summary(spark, folder):
     return M.full_summary(rows).select("n", *[_round(c) for c in names])
 
 
-# Columns that are keys, lineage or, by the data's own account, not to be trusted.
-_KEYS = ("feature_version", "canonical_match_id", "player_a_id", "player_b_id", "as_of_date", "player_a_side", "player_b_side", "player_a_rank", "player_b_rank", "rank_diff")
 _NUMBERS = (
     "best_of", "h2h_match_count", "player_a_elo_overall", "player_b_elo_overall", "player_a_form_last_5_win_rate", "player_b_form_last_5_win_rate", "elo_diff", "surface_elo_diff",
     "service_first_won_rate_diff", "return_first_won_allowed_rate_diff", "ace_rate_diff", "h2h_win_rate_diff",
@@ -202,7 +200,7 @@ _WORDS = ("surface", "tourney_level", "round_name", "player_a_stats_missing", "p
 
 def _groups(spark, folder):
     rows = table(spark, folder, "modeling_rows")
-    return rows, *feature_groups(rows, [*_KEYS, *[c for c in rows.columns if c.startswith("lineage_")]])
+    return rows, *feature_groups(rows, [*NO_FEATURES, *[c for c in rows.columns if c.startswith("lineage_")]])
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS feature, '{kind}' AS kind" for kind, names in (("numeric", _NUMBERS), ("categorical", _WORDS)) for c in names))

@@ -627,23 +627,43 @@ def st04_ranked(spark, folder):
 
 # ---- models (no SQL equivalent) ----------------------------------------------
 
-_FEATURES = ["surface_elo_diff", "elo_diff", "service_first_won_rate_diff", "return_first_won_allowed_rate_diff", "ace_rate_diff", "h2h_win_rate_diff"]
+# Columns of modeling_rows that are keys, lineage or not to be trusted, so no features.
+NO_FEATURES = (
+    "feature_version", "canonical_match_id", "player_a_id", "player_b_id", "as_of_date", "player_a_side", "player_b_side", "player_a_rank", "player_b_rank", "rank_diff",
+)
 
 
-def _predictions(spark: SparkSession, folder: str, family: str, calibrator: str = "sigmoid", trees: int = 400) -> DataFrame:
-    from rallyframe.ml import models
+def _modeling(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str], list[str]]:
+    """Dataset with its splits, and its numeric and categorical features: every column that is no key."""
     from rallyframe.ml.dataset import split_of
+    from rallyframe.ml.preprocess import feature_groups
 
-    columns = ["as_of_date", "surface", "tourney_level", *[c for c in _FEATURES if c != "elo_diff"]]
+    given = table(spark, folder, "modeling_rows")
+    numeric, categorical = feature_groups(given, [*NO_FEATURES, *[c for c in given.columns if c.startswith("lineage_")]])
+    columns = ["as_of_date", "player_a_rank", "player_b_rank", "rank_diff", *[c for c in (*numeric, *categorical) if c != "elo_diff"]]
     rows = _dataset(spark, folder, columns).where("as_of_date is not null")
-    rows = rows.withColumn("split", split_of(F.col("as_of_date"), "20141231", "20181231")).persist()
+    # of repeated rows that differ one stands for its match
+    rows = R.holds(rows, ["canonical_match_id"], [F.col("player_a_id")])
+    return materialize(rows.withColumn("split", split_of(F.col("as_of_date"), "20141231", "20181231"))), numeric, categorical
+
+
+def _fitted(rows: DataFrame, numeric: list[str], categorical: list[str], family: str, calibrator: str, trees: int = 400):
+    from rallyframe.ml import models
+
     train, validation = rows.where("split = 'train'"), rows.where("split = 'validation'")
     if family == "gradient_boosted_trees":
-        train = train.join(_tail(train).withColumn("is_tail", F.lit(True)), "canonical_match_id", "left").fillna({"is_tail": False}).persist()
-    fitted = models.fit(train, _FEATURES, ["surface", "tourney_level"], family, trees=trees)
-    calibrate = (models.platt if calibrator == "sigmoid" else models.isotonic)(fitted.score(validation))
-    scored = calibrate(fitted.score(rows.where("split = 'test'")))
-    return models.prediction_rows(scored, ["canonical_match_id", "as_of_date", "y"])
+        train = train.join(_tail(train).withColumn("is_tail", F.lit(True)), "canonical_match_id", "left").fillna({"is_tail": False})
+    fitted = models.fit(train, numeric, categorical, family, trees=trees)
+    return fitted, (models.platt if calibrator == "sigmoid" else models.isotonic)(fitted.score(validation))
+
+
+def _predictions(spark: SparkSession, folder: str, family: str, calibrator: str = "sigmoid") -> DataFrame:
+    from rallyframe.ml.replay import predicted
+
+    rows, numeric, categorical = _modeling(spark, folder)
+    test = rows.where("split = 'test'")
+    listed = global_rank(test.select("canonical_match_id"), [F.asc("canonical_match_id")], "pos")
+    return predicted(*_fitted(rows, numeric, categorical, family, calibrator), test, listed, family)
 
 
 @query()
@@ -666,9 +686,28 @@ def ml07_isotonic(spark, folder):
     return _predictions(spark, folder, "logistic_regression", "isotonic")
 
 
+@query("SELECT 0::BIGINT AS differing, true AS complete")
+def ml10_replay(spark, folder):
+    """A saved bundle, loaded and replayed over the listed test matches, repeats the saved predictions exactly."""
+    from uuid import uuid4
+
+    from rallyframe.ml.registry import load_bundle, write_bundle
+    from rallyframe.ml.replay import predicted, replay
+    from rallyframe.util import shared_dir
+
+    rows, numeric, categorical = _modeling(spark, folder)
+    test = rows.where("split = 'test'")
+    listed = global_rank(test.select("canonical_match_id"), [F.desc("canonical_match_id")], "pos")
+    fitted, calibrator = _fitted(rows, numeric, categorical, "logistic_regression", "isotonic")
+    saved = materialize(predicted(fitted, calibrator, test, listed))
+    bundle = write_bundle(f"{shared_dir(spark)}/bundles/{uuid4().hex}", fitted, calibrator, "v1", "s1", {})
+    again = replay(*load_bundle(bundle, "v1", "s1")[:2], test, saved)
+    return again.agg(F.count(F.lit(1)).alias("differing")).withColumn("complete", F.lit(saved.count() == test.count()))
+
+
 @query()
 def ml11_metric_bundle(spark, folder):
-    rows = _predictions(spark, folder, "logistic_regression").select("y", F.col("calibrated_probability").alias("p")).persist()
+    rows = materialize(_predictions(spark, folder, "logistic_regression").select("y", F.col("calibrated_probability").alias("p")))
     parts = [M.point_metrics(rows), M.calibration_error(rows), M.roc_auc(rows)]
     long = [part.select(F.expr(f"stack({len(part.columns)}, {', '.join(f"'{c}', double({c})" for c in part.columns)}) as (metric, value)")) for part in parts]
     return long[0].unionAll(long[1]).unionAll(long[2])

@@ -210,15 +210,24 @@ def test_models_and_splits(spark, tmp_path):
     with pytest.raises(ValueError):
         models.fit(train, ["x"], [], "other")
     assert preprocess.most_frequent(rows, ["c"]).first()["mode"] == "a"
-    folder = write_bundle(str(tmp_path / "run"), fitted.pipeline, "v1", "s1", {"auc": 1})
-    assert load_bundle(str(folder), "v1", "s1")[1]["metrics"] == {"auc": 1}
+    assert dataset.check_boundaries(rows, "d", "20240801", "20241001", "20241220").count() == 240
+    with pytest.raises(ValueError, match="boundary of: train"):
+        dataset.check_boundaries(rows, "d", "20240799", "20241001", "20241220")
+    calibrator = models.isotonic(fitted.score(validation))
+    folder = write_bundle(str(tmp_path / "run"), fitted, calibrator, "v1", "s1", {"auc": 1})
+    loaded, again, manifest = load_bundle(folder, "v1", "s1")
+    assert manifest["metrics"] == {"auc": 1} and loaded.prepare == fitted.prepare
+    one, two = (c(f.score(test)).select("d", "x", "p").toPandas() for f, c in ((fitted, calibrator), (loaded, again)))
+    assert one.equals(two)
     with pytest.raises(ValueError, match="feature_version"):
-        load_bundle(str(folder), "v2", "s1")
-    next(p for p in folder.rglob("part-*") if p.suffix != ".crc").write_text("x")
+        load_bundle(folder, "v2", "s1")
+    next(p for p in (tmp_path / "run/model").rglob("part-*") if p.suffix != ".crc").write_text("x")
+    for crc in (tmp_path / "run/model").rglob(".*.crc"):
+        crc.unlink()
     with pytest.raises(ValueError, match="file"):
-        load_bundle(str(folder), "v1", "s1")
+        load_bundle(folder, "v1", "s1")
     with pytest.raises(FileExistsError):
-        write_bundle(str(folder), fitted.pipeline, "v1", "s1", {})
+        write_bundle(folder, fitted, calibrator, "v1", "s1", {})
 
 
 def test_boosting_stops_early_with_patience(spark):
