@@ -22,6 +22,15 @@ def p3_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.withColumnRenamed("item", "canonical_player_id")
 
 
+def p3_strengths(spark: SparkSession, folder: str) -> DataFrame:
+    """The ranking's figures, iterated far enough to be compared to six places (places of equal strengths are left out)."""
+    matches = table(spark, folder, "canonical_matches")
+    ids = ["canonical_match_id", "winner_canonical_player_id", "loser_canonical_player_id"]
+    results = matches.select(*ids).dropna().distinct()
+    ranked = rank_items(results.select(F.col(ids[1]).alias("winner"), F.col(ids[2]).alias("loser")), tolerance=1e-11)
+    return ranked.select(F.col("item").alias("canonical_player_id"), F.round("strength", 6).alias("strength"), "wins", "losses")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     def side(name: str) -> DataFrame:
         rows = table(spark, folder, name)
@@ -65,17 +74,37 @@ def _subjects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    known = table(spark, folder, "doc_subject_labels").where("doc_id is not null").select("doc_id").distinct()
-    return _subjects(spark, folder).join(known, "doc_id", "left_anti").select("doc_id", "subject").distinct()
+    documents, labels, subjects, items = (table(spark, folder, n) for n in ("documents", "doc_subject_labels", "subject_areas", "eval_items"))
+    known = labels.where("doc_id is not null").select("doc_id").distinct()
+    judged = documents.select("doc_id", "text").join(known, "doc_id", "left_anti")
+    return document_subjects(documents, labels, subjects, items, judged=judged).select("doc_id", "subject").distinct()
 
 
 def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
     return _subjects(spark, folder).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_ranking, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p3_ranking, p3_strengths, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_composition)}
 
 ORACLES = {
+    # the iteration on a dense list of adjacency lists, far beyond convergence
+    "p3_strengths": """
+WITH RECURSIVE x AS (SELECT DISTINCT canonical_match_id, winner_canonical_player_id AS w, loser_canonical_player_id AS l FROM canonical_matches
+           WHERE canonical_match_id IS NOT NULL AND winner_canonical_player_id IS NOT NULL AND loser_canonical_player_id IS NOT NULL),
+ p AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM (SELECT w AS id FROM x UNION SELECT l FROM x)),
+ g AS (SELECT a.i AS a, b.i AS b, count(*) AS n FROM x JOIN p a ON a.id = x.w JOIN p b ON b.id = x.l WHERE x.w <> x.l GROUP BY ALL),
+ t AS (SELECT (SELECT list(coalesce(f, []) ORDER BY i) FROM p LEFT JOIN (SELECT a, list({'j': b, 'n': n}) AS f FROM g GROUP BY a) ON a = i) AS won,
+              (SELECT list(coalesce(f, []) ORDER BY i) FROM p LEFT JOIN (SELECT b, list({'j': a, 'n': n}) AS f FROM g GROUP BY b) ON b = i) AS lost,
+              (SELECT 1.0::DOUBLE / count(*) FROM p) AS h),
+ s AS (SELECT 0 AS k, list_transform(won, lambda f: 1.0::DOUBLE) AS o, list_transform(won, lambda f: 1.0::DOUBLE) AS d FROM t
+   UNION ALL
+   SELECT k + 1, o2, list_transform(t.lost, lambda f: coalesce(list_sum(list_transform(f, lambda y: y.n / o2[y.j])), 0) + t.h * so)
+   FROM (SELECT k, o2, list_sum(list_transform(o2, lambda z: 1 / z)) AS so
+         FROM (SELECT s.k, list_transform(t.won, lambda f: coalesce(list_sum(list_transform(f, lambda y: y.n / s.d[y.j])), 0) + t.h * s.sd) AS o2
+               FROM (SELECT k, d, list_sum(list_transform(d, lambda z: 1 / z)) AS sd FROM s WHERE k < 60) s, t)), t),
+ r AS (SELECT p.id, s.o[p.i] / s.d[p.i] AS raw, p.i FROM s, p WHERE s.k = 60)
+SELECT id AS canonical_player_id, round(raw / (SELECT exp(avg(ln(raw))) FROM r), 6) AS strength, (SELECT count(*) FROM x WHERE w = id) AS wins,
+       (SELECT count(*) FROM x WHERE l = id) AS losses FROM r""",
     "p6_found": """
 WITH pairs AS (
   SELECT DISTINCT o.request_id AS orderbook_request_id, m.request_id AS market_request_id,

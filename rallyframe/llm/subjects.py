@@ -19,15 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from rallyframe.llm.text_forms import folded
-from rallyframe.util import widened
+from rallyframe.util import shuffle_partitions, widened
 
 BITS = 17
 MAX_LABELLED = 4000
 MAX_NEGATIVE = 2000
+MAX_CHARACTERS = 64_000_000
 ENOUGH = 3
 LONG = 36
 STRETCH = 13
@@ -114,54 +116,96 @@ class SubjectModel:
         return (count >= enough) | ((count > 0) & (count == dealt[:, None]))
 
 
-def _fit(flat: np.ndarray, row: np.ndarray, y: np.ndarray, weight: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic one-versus-rest fits by Adagrad over the whole sample."""
-    n, k = y.shape
+def _fit_one(flat: np.ndarray, row: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic fit of one subject by Adagrad over the whole sample: (used features, their weights, bias)."""
+    n = len(y)
     size = np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
     order = np.argsort(flat, kind="stable")
-    at, of = flat[order], row[order]
-    w, b = np.zeros((1 << bits, k), np.float32), np.zeros(k)
-    used = np.unique(at)
-    place = np.searchsorted(used, flat)
-    sorted_place = np.searchsorted(used, at)
-    for c in range(k):
-        x, bias = np.zeros(len(used)), -1.0
-        gx, gb = np.full(len(used), 1e-6), 1e-6
-        for _ in range(STEPS):
-            z = np.bincount(row, x[place], n) / size + bias
-            error = weight[:, c] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[:, c])
-            g = np.bincount(sorted_place, (error / size)[of], len(used)) / n + RIDGE * x
-            gx += g * g
-            x -= 0.5 * g / np.sqrt(gx)
-            db = error.sum() / n
-            gb += db * db
-            bias -= 0.5 * db / np.sqrt(gb)
-        w[used, c], b[c] = x, bias
-    return w, b
-
-
-def train_subjects(labelled: list[tuple[str, set[str]]], negatives: list[str], subjects: list[str], bits: int = BITS) -> SubjectModel:
-    """Fit on (text, subjects) pairs; ``negatives`` are texts of no subject."""
-    hasher, index = Hasher(bits), {s: i for i, s in enumerate(subjects)}
+    of = row[order]
+    used, sorted_place = np.unique(flat[order], return_inverse=True)
+    place = np.empty_like(sorted_place)
+    place[order] = sorted_place
+    x, bias = np.zeros(len(used)), -1.0
+    gx, gb = np.full(len(used), 1e-6), 1e-6
+    for _ in range(STEPS):
+        z = np.bincount(row, x[place], n) / size + bias
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        g = np.bincount(sorted_place, (error / size)[of], len(used)) / n + RIDGE * x
+        gx += g * g
+        x -= 0.5 * g / np.sqrt(gx)
+        db = error.sum() / n
+        gb += db * db
+        bias -= 0.5 * db / np.sqrt(gb)
+    return used, x, bias
+
+
+class LocalFits:
+    """One-versus-rest fits of all subjects on a sample, one after the other."""
+
+    def __init__(self, flat: np.ndarray, row: np.ndarray):
+        self.flat, self.row = flat, row
+
+    def __call__(self, y: np.ndarray, weight: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        w, b = np.zeros((1 << bits, y.shape[1]), np.float32), np.zeros(y.shape[1])
+        for c, (used, x, bias) in self.fits(y, weight):
+            w[used, c], b[c] = x, bias
+        return w, b
+
+    def fits(self, y: np.ndarray, weight: np.ndarray):
+        for c in range(y.shape[1]):
+            yield c, _fit_one(self.flat, self.row, y[:, c], weight[:, c])
+
+
+class SparkFits(LocalFits):
+    """The same fits, one task a subject, over the broadcast sample (bounded by ``MAX_LABELLED`` and ``MAX_CHARACTERS``)."""
+
+    def __init__(self, spark: SparkSession, flat: np.ndarray, row: np.ndarray):
+        self.spark = spark
+        self.sample = spark.sparkContext.broadcast((flat.astype(np.int32), row.astype(np.int32)))
+
+    def fits(self, y: np.ndarray, weight: np.ndarray):
+        sample, marks = self.sample, self.spark.sparkContext.broadcast((y.astype(np.float32), weight.astype(np.float32)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flat, row = (x.astype(np.int64) for x in sample.value)
+            for batch in batches:
+                for c in batch.column(0).to_pylist():
+                    used, x, bias = _fit_one(flat, row, *(m[:, c].astype(float) for m in marks.value))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([c]), pa.array([used.astype(np.int32).tobytes()]), pa.array([x.tobytes()]), pa.array([bias])], names=["c", "used", "x", "bias"]
+                    )
+
+        k = y.shape[1]
+        rows = self.spark.range(0, k, 1, k).mapInArrow(run, "c bigint, used binary, x binary, bias double")
+        for r in rows.collect():  # one row a subject, at most 2 ** BITS weights each
+            yield r.c, (np.frombuffer(r.used, np.int32), np.frombuffer(r.x), r.bias)
+        marks.unpersist()
+
+
+Sample = list[tuple[list[np.ndarray], set[str]]]
+
+
+def train_subjects(labelled: Sample, negatives: list[list[np.ndarray]], subjects: list[str], bits: int = BITS, spark: SparkSession | None = None) -> SubjectModel:
+    """Fit on (features of sentences, subjects) of documents; ``negatives`` are sentences of texts of no subject."""
+    index = {s: i for i, s in enumerate(subjects)}
     features, doc, own = [], [], []
-    for d, (text, names) in enumerate(labelled):
+    for d, (parts, names) in enumerate(labelled):
         mark = np.zeros(len(subjects), bool)
         mark[[index[s] for s in names if s in index]] = True
-        for s in sentences(text):
-            features.append(hasher(s))
-            doc.append(d)
-            own.append(mark)
-    for text in negatives:
-        for s in sentences(text):
-            features.append(hasher(s))
-            doc.append(-1)
-            own.append(np.zeros(len(subjects), bool))
+        features += parts
+        doc += [d] * len(parts)
+        own += [mark] * len(parts)
+    for parts in negatives:
+        features += parts
+        doc += [-1] * len(parts)
+        own += [np.zeros(len(subjects), bool)] * len(parts)
     own, doc = np.array(own).reshape(-1, len(subjects)), np.array(doc)
     flat, row = rows_of(features)
+    fits = SparkFits(spark, flat, row) if spark else LocalFits(flat, row)
     single = own.sum(axis=1) == 1
     y = own.astype(float)
     weight = np.where((own & ~single[:, None]), 0.0, 1.0)  # which of several subjects: not yet known
-    model = SubjectModel(subjects, *_fit(flat, row, y, weight, bits), np.full(len(subjects), 0.5), bits)
+    model = SubjectModel(subjects, *fits(y, weight, bits), np.full(len(subjects), 0.5), bits)
     for _ in range(ROUNDS - 1):
         p = model.scores(features)
         inside = np.where(own, p, 0.0)
@@ -171,14 +215,13 @@ def train_subjects(labelled: list[tuple[str, set[str]]], negatives: list[str], s
         weight = np.where(own & best & (inside <= 0.5) & (inside > 0.2), 0.5, 1.0)
         weight = np.where(alien.any(axis=1, keepdims=True), 0.0, weight)  # a passing sentence, or a wrong label
         weight[doc < 0] = 1.0
-        model.weights, model.bias = _fit(flat, row, y, weight, bits)
+        model.weights, model.bias = fits(y, weight, bits)
     return model
 
 
-def calibrate(model: SubjectModel, held_out: list[tuple[str, set[str]]]) -> SubjectModel:
+def calibrate(model: SubjectModel, held_out: Sample) -> SubjectModel:
     """Choose each subject's threshold by the F1 of the document rule on ``held_out``."""
-    hasher = Hasher(model.bits)
-    parts = [[hasher(s) for s in sentences(t)] for t, _ in held_out]
+    parts = [p for p, _ in held_out]
     doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     scores = model.scores([f for p in parts for f in p])
     truth = np.array([[s in names for s in model.subjects] for _, names in held_out]).reshape(-1, len(model.subjects))
@@ -199,27 +242,50 @@ def calibrate(model: SubjectModel, held_out: list[tuple[str, set[str]]]) -> Subj
     return model
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> list[tuple[str, set[str]]]:
-    """At most ``bound`` labelled documents, chosen by a hash of their id."""
-    marks = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # bounded sample for fitting only
-    rows = documents.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"))
-    return [(r.text, set(r.subjects)) for r in rows.toLocalIterator()]
+def featured(text: str | None, hasher: Hasher) -> list[np.ndarray]:
+    return [hasher(s) for s in sentences(text)]
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hasher = Hasher()
+    for batch in batches:
+        parts = [[f.tolist() for f in featured(t, hasher)] for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.list_(pa.int32()))), batch.column(2)], names=["id", "parts", "subjects"])
+
+
+def _sample(rows: DataFrame, bound: int) -> Sample:
+    """Features of at most ``bound`` rows (id, text, subjects) and ``MAX_CHARACTERS`` of text, taken by a hash of their id."""
+    order = [F.xxhash64("id"), F.col("id")]
+    chosen = rows.orderBy(*order).limit(bound)  # bounded sample for fitting only
+    so_far = F.sum(F.length("text")).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1))  # at most ``bound`` rows
+    chosen = chosen.withColumn("so_far", F.coalesce(so_far, F.lit(0))).where(F.col("so_far") < MAX_CHARACTERS)
+    chosen = chosen.select("id", "text", "subjects").repartition(shuffle_partitions(rows.sparkSession))
+    held = chosen.mapInArrow(_featured, "id bigint, parts array<array<int>>, subjects array<string>").toPandas()
+    held = held.sort_values("id", key=lambda x: x * 2654435761 % (1 << 31))  # an order that does not depend on arrival
+    return [([np.asarray(f, np.int64) for f in p], set(s)) for p, s in zip(held["parts"], held["subjects"])]
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Sample:
+    """Features and subjects of at most ``bound`` labelled documents, chosen by a hash of their id."""
+    marks = labels.where("doc_id is not null and subject is not null").groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.collect_set("subject").alias("subjects"))
+    rows = documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    return _sample(rows.join(marks, "id"), bound)
 
 
 def document_subjects(
     documents: DataFrame, labels: DataFrame, subjects: DataFrame, test_items: DataFrame | None = None,
-    max_labelled: int = MAX_LABELLED, max_negative: int = MAX_NEGATIVE,
+    max_labelled: int = MAX_LABELLED, max_negative: int = MAX_NEGATIVE, judged: DataFrame | None = None,
 ) -> DataFrame:
     """Subjects of every document: doc_id, subject, score (the best sentence's).
 
     The classifiers are fitted on at most ``max_labelled`` labelled documents
-    (a fifth of them calibrates the thresholds) and ``max_negative`` test items;
-    every document is judged, whole.  A subject counts if three sentences deal
-    with it, or all sentences that deal with any.  Null, empty and blank texts,
-    texts without letters and texts without words on any subject give no row.
-    Labels of unknown documents or subjects and null labels are ignored; without
-    any label nothing is assigned.  Further columns are ignored.
+    (a fifth of them calibrates the thresholds) and ``max_negative`` test items,
+    of at most ``MAX_CHARACTERS`` each; every document is judged, whole, or those
+    of ``judged`` (doc_id, text) if given.  A subject counts if three sentences
+    deal with it, or all sentences that deal with any.  Null, empty and blank
+    texts, texts without letters and texts without words on any subject give no
+    row.  Labels of unknown documents or subjects and null labels are ignored;
+    without any label nothing is assigned.  Further columns are ignored.
     """
     spark = documents.sparkSession
     names = sorted(r.subject for r in subjects.select("subject").where("subject is not null").distinct().collect())
@@ -229,10 +295,11 @@ def document_subjects(
         return spark.createDataFrame([], out)
     negatives = []
     if test_items is not None:
-        held = test_items.select("text").where("text is not null").limit(max_negative)  # bounded sample for fitting only
-        negatives = [r.text for r in held.collect()]
+        nothing = F.array().cast("array<string>").alias("subjects")
+        held = test_items.where("text is not null and item_id is not null").select(F.col("item_id").cast("bigint").alias("id"), "text", nothing)
+        negatives = [p for p, _ in _sample(held, max_negative)]
     cut = max(1, len(sample) // 5)
-    model = calibrate(train_subjects(sample[cut:] or sample, negatives, names), sample[:cut])
+    model = calibrate(train_subjects(sample[cut:] or sample, negatives, names, spark=spark), sample[:cut])
     weights = model.weights.astype(np.float16)
     rest = (model.subjects, model.bias, model.thresholds, model.bits)
 
@@ -253,5 +320,5 @@ def document_subjects(
                 names=["doc_id", "subject", "score"],
             )
 
-    slim = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    slim = (documents if judged is None else judged).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     return widened(slim).mapInArrow(run, out)
