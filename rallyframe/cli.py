@@ -40,12 +40,14 @@ def main(argv: list[str] | None = None) -> int:
     from rallyframe.plans import general, reference, pipelines
     from rallyframe.session import get_session
     from rallyframe.sources.tables import table_if_there
+    from rallyframe.util import purge, ship_code
 
     known = general.QUERIES | reference.QUERIES
     if args.command == "queries":
         print("\n".join(sorted(known)))
         return 0
     spark = get_session()
+    ship_code(spark)
     if args.command == "health":
         print("ok" if spark.range(1).count() == 1 else "failing")
     elif args.command == "run":
@@ -60,6 +62,7 @@ def main(argv: list[str] | None = None) -> int:
         from rallyframe.sources.market_api import collect_tables, file_transport
 
         pipelines.persist(collect_tables(spark, file_transport(args.recordings), args.path.split(",")), args.out)
+    purge(spark)
     return 0
 
 

@@ -51,7 +51,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that :func:`materialize` returned; other frames are left alone."""
+    if written := getattr(df, "_written", None):
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

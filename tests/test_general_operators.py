@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rallyframe.operators.asof_snapshots import attributes_at, history
 from rallyframe.operators.orphans import Reference, key_runs, orphans, orphans_by_period
 from rallyframe.operators.snapshot_diff import chunk_digests, listed_keys, snapshot_changes, with_chunks
-from rallyframe.util import global_rank, materialize, purge, salted_join
+from rallyframe.util import discard, global_rank, materialize, purge, salted_join
 
 
 def changes_of(rows, **options):
@@ -119,8 +119,13 @@ def test_global_rank_and_salted_join(spark):
 def test_written_tables_can_be_purged(spark):
     kept = materialize(spark.range(5))
     assert kept.count() == 5
-    files = [f.removeprefix("file:") for f in kept.inputFiles()]
-    purge(spark)
     import os
 
+    files = [f.removeprefix("file:") for f in kept.inputFiles()]
+    other = materialize(spark.range(2))
+    gone = [f.removeprefix("file:").removeprefix("//") for f in other.inputFiles()]
+    discard(other)
+    discard(spark.range(1))
+    assert gone and not any(os.path.exists(f) for f in gone) and kept.count() == 5
+    purge(spark)
     assert files and not any(os.path.exists(f.removeprefix("//")) for f in files)

@@ -6,7 +6,7 @@ from rallyframe.plans import general, reference
 
 ORACLES = general.ORACLES | reference.ORACLES
 QUERIES = general.QUERIES | reference.QUERIES
-SLOW = ("ml02_", "ml03_", "ml04_", "ml07_", "ml11_")
+SLOW = ("ml03_", "ml04_")  # 400 trees: fitted with fewer in test_parts
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -19,7 +19,8 @@ def test_query_equals_its_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ORACLES and not n.startswith(SLOW)))
 def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, DATA).columns
+    rows = QUERIES[name](spark, DATA)
+    assert rows.count() > 0 and len(set(rows.columns)) == len(rows.columns)
 
 
 def test_entry_runs(spark):
