@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.util import global_rank, materialize, shuffle_partitions
+from rallyframe.util import discard, global_rank, materialize, shuffle_partitions
 
 PRIOR = 1.0
 TOLERANCE = 1e-6
@@ -78,8 +78,9 @@ def rank_items(results: DataFrame, prior: float = PRIOR, tolerance: float = TOLE
     by_loser, by_winner = (met.repartition(parts, c).sortWithinPartitions(c).persist() for c in ("loser", "winner"))
     vector = counts.select("id", F.lit(1.0).alias("offence"), F.lit(1.0).alias("defence"))
     for _ in range(max_rounds):
-        vector = materialize(_round(by_loser, by_winner, vector, share, total))  # else plans nest
+        before, vector = vector, materialize(_round(by_loser, by_winner, vector, share, total))  # else plans nest
         seen = vector.agg(F.sum(1 / F.col("defence")).alias("total"), F.max("moved").alias("moved")).first()
+        discard(before)
         total, moved = float(seen.total), seen.moved
         if moved <= tolerance:
             break
