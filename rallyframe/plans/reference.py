@@ -416,13 +416,16 @@ _VALUES = (
 _VALUES_OF = f"SELECT {', '.join(_VALUES)} FROM modeling_rows WHERE feature_version"
 
 
-@query(f"""SELECT 'saved' AS side, * FROM ({_VALUES_OF} = 'v2' EXCEPT ALL {_VALUES_OF} = 'v1')
-  UNION ALL SELECT 'replayed', * FROM ({_VALUES_OF} = 'v1' EXCEPT ALL {_VALUES_OF} = 'v2')""")
+_WHOLE = ("best_of", "player_a_rank", "player_b_rank", "rank_diff", "h2h_match_count")
+
+
+@query(f"""SELECT * REPLACE ({", ".join(f"{c}::DOUBLE AS {c}" for c in _WHOLE)}) FROM (SELECT 'saved' AS side, * FROM ({_VALUES_OF} = 'v2' EXCEPT ALL {_VALUES_OF} = 'v1')
+  UNION ALL SELECT 'replayed', * FROM ({_VALUES_OF} = 'v1' EXCEPT ALL {_VALUES_OF} = 'v2'))""")
 def jn15_parity_both(spark, folder):
     """Both sides over all value columns, exactly; ``jn15_parity`` shows one side and three columns, as its SQL says."""
     rows = table(spark, folder, "modeling_rows")
     one = [rows.where(F.col("feature_version") == v).select(*_VALUES) for v in ("v2", "v1")]
-    return R.differences(*one).select("side", *_VALUES)
+    return R.differences(*one).select("side", *[F.col(c).cast("double").alias(c) if c in _WHOLE else c for c in _VALUES])
 
 
 @query("""SELECT feature_version, as_of_date, sha256(string_agg(canonical_match_id, chr(10) ORDER BY canonical_match_id) || chr(10)) AS membership_hash
