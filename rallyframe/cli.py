@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from rallyframe import __version__
@@ -30,6 +31,17 @@ def main(argv: list[str] | None = None) -> int:
     features = commands.add_parser("build-features")
     features.add_argument("folder")
     features.add_argument("out")
+    train = commands.add_parser("train")
+    train.add_argument("folder")
+    train.add_argument("bundle")
+    train.add_argument("--family", default="logistic_regression")
+    train.add_argument("--calibrator", default="sigmoid", choices=("sigmoid", "isotonic"))
+    evaluate = commands.add_parser("evaluate")
+    for a in ("folder", "bundle", "out"):
+        evaluate.add_argument(a)
+    again = commands.add_parser("replay")
+    for a in ("folder", "bundle", "report"):
+        again.add_argument(a)
     collect = commands.add_parser("collect-market-pages")
     for a in ("recordings", "path", "out"):
         collect.add_argument(a)
@@ -39,6 +51,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from rallyframe.plans import general, reference, pipelines
     from rallyframe.session import get_session
+    from rallyframe.sources.artifacts import write_report
     from rallyframe.sources.tables import table_if_there
     from rallyframe.util import purge, ship_code
 
@@ -54,6 +67,16 @@ def main(argv: list[str] | None = None) -> int:
         known[args.name](spark, args.folder).write.mode("errorifexists").parquet(args.out)
     elif args.command == "ingest-snapshot":
         pipelines.persist(pipelines.canonical_tables(spark, args.root, args.repo, args.commit), args.out)
+    elif args.command == "train":
+        print(json.dumps(pipelines.train_bundle(spark, args.folder, args.bundle, args.family, args.calibrator), sort_keys=True))
+    elif args.command == "evaluate":
+        rows, metrics = pipelines.evaluate_bundle(spark, args.folder, args.bundle)
+        write_report(args.out, {"predictions": rows}, {"bundle": args.bundle, "metrics": metrics})
+    elif args.command == "replay":
+        n = pipelines.replay_bundle(spark, args.folder, args.bundle, spark.read.parquet(f"{args.report}/predictions.parquet")).count()
+        print(f"{n} predictions differ")
+        purge(spark)
+        return 1 if n else 0
     elif args.command == "build-features":
         matches, rankings = _tables(spark, args.folder, ["canonical_matches", "canonical_rankings"])
         stats = table_if_there(spark, args.folder, "canonical_match_stats")

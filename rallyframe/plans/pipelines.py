@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from rallyframe.functions import ids
 from rallyframe.operators import history as H
+from rallyframe.operators import metrics as M
 from rallyframe.operators.record_quarantine import FAMILIES, typed_failure
 from rallyframe.operators.relational import holds
 from rallyframe.sources import csv_snapshot as C
 from rallyframe.sources.artifacts import replace_table
-from rallyframe.util import materialize
+from rallyframe.util import global_rank, materialize
 
 # Columns each family must have.
 REQUIRED = {
@@ -155,6 +156,48 @@ def feature_tables(matches: DataFrame, rankings: DataFrame, stats: DataFrame | N
     }
 
 
+SPLIT = ("20141231", "20181231")
+
+
+def train_bundle(spark: SparkSession, folder: str, out: str, family: str = "logistic_regression", calibrator: str = "sigmoid") -> dict[str, float]:
+    """Fit on the training split, calibrate on validation, and save the bundle with its validation metrics."""
+    from rallyframe.ml.registry import write_bundle
+    from rallyframe.plans.reference import _fitted, _modeling
+
+    rows, numeric, categorical = _modeling(spark, folder)
+    fitted, calibrate = _fitted(rows, numeric, categorical, family, calibrator)
+    metrics = _metrics(calibrate(fitted.score(rows.where("split = 'validation'"))).select("y", "p"))
+    write_bundle(out, fitted, calibrate, "v1", "-".join(SPLIT), metrics)
+    return metrics
+
+
+def evaluate_bundle(spark: SparkSession, folder: str, bundle: str) -> tuple[DataFrame, dict[str, float]]:
+    """Predictions of a saved bundle for the test split, in the order of their ids, and their metrics."""
+    from rallyframe.ml.registry import load_bundle
+    from rallyframe.ml.replay import predicted
+    from rallyframe.plans.reference import _modeling
+
+    fitted, calibrate, _ = load_bundle(bundle, "v1", "-".join(SPLIT))
+    test = _modeling(spark, folder)[0].where("split = 'test'")
+    listed = global_rank(test.select("canonical_match_id"), [F.asc("canonical_match_id")], "pos")
+    rows = materialize(predicted(fitted, calibrate, test, listed, fitted.family))
+    return rows, _metrics(rows.select("y", F.col("calibrated_probability").alias("p")))
+
+
+def replay_bundle(spark: SparkSession, folder: str, bundle: str, saved: DataFrame) -> DataFrame:
+    """Positions at which a bundle, run again, differs from saved predictions."""
+    from rallyframe.ml.registry import load_bundle
+    from rallyframe.ml.replay import replay
+    from rallyframe.plans.reference import _modeling
+
+    fitted, calibrate, _ = load_bundle(bundle, "v1", "-".join(SPLIT))
+    return replay(fitted, calibrate, _modeling(spark, folder)[0].where("split = 'test'"), saved)
+
+
+def _metrics(rows: DataFrame) -> dict[str, float]:
+    return M.point_metrics(rows).first().asDict() | M.calibration_error(rows).first().asDict() | M.roc_auc(rows).first().asDict()
+
+
 def persist(tables: dict[str, DataFrame], folder: str, partition_by: dict[str, list[str]] | None = None, empty: bool = True) -> None:
     """Replace the tables of a folder; with ``empty=False`` an empty one is an error and nothing is written."""
     if not empty and (none := sorted(n for n, rows in tables.items() if rows.isEmpty())):

@@ -117,7 +117,7 @@ def test_aliases_and_sinks(spark, tmp_path):
     good = {c: "x" for c in artifacts.ALIAS_FIELDS}
     (tmp_path / "a.json").write_text(json.dumps([good, {**good, "raw_market_name": "y", "normalized_market_name": "y"}]))
     assert artifacts.read_aliases(spark, str(tmp_path / "a.json")).count() == 2
-    for bad in ([good, good], [{**good, "source_note": " "}]):
+    for bad in ([good, good], [{**good, "source_note": " "}], [{**good, "normalized_market_name": "z"}]):
         (tmp_path / "b.json").write_text(json.dumps(bad))
         with pytest.raises(ValueError):
             artifacts.read_aliases(spark, str(tmp_path / "b.json"))
@@ -291,3 +291,27 @@ def test_cli_lists_and_runs(spark, tmp_path, capsys):
     assert "p4_found" in capsys.readouterr().out
     assert main(["run", "wn01_latest_market", "/root/testdata/sf0.001", str(tmp_path / "o")]) == 0
     assert spark.read.parquet(str(tmp_path / "o")).count() > 0
+
+
+def test_cli_trains_evaluates_and_replays(spark, tmp_path, capsys):
+    data = "/root/testdata/sf0.01"
+    assert main(["train", data, str(tmp_path / "b"), "--calibrator", "isotonic"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["auc"] > 0.5
+    assert main(["evaluate", data, str(tmp_path / "b"), str(tmp_path / "r")]) == 0
+    assert json.loads((tmp_path / "r/summary.json").read_text())["metrics"]["n"] == spark.read.parquet(str(tmp_path / "r/predictions.parquet")).count() > 0
+    with pytest.raises(FileExistsError):
+        artifacts.write_report(str(tmp_path / "r"), {}, {})
+    assert main(["replay", data, str(tmp_path / "b"), str(tmp_path / "r")]) == 0
+    assert "0 predictions differ" in capsys.readouterr().out
+
+
+def test_evidence_and_expected_columns(spark, tmp_path):
+    from rallyframe.sources.tables import table
+
+    rows = table(spark, "/root/testdata/sf0.001", "market_mapping_evidence", list(artifacts.EVIDENCE))
+    artifacts.write_evidence(rows, str(tmp_path / "market_mapping_evidence.parquet"))
+    assert table(spark, str(tmp_path), "market_mapping_evidence").count() == rows.count()
+    with pytest.raises(ValueError, match="columns differ"):
+        artifacts.write_evidence(rows.drop("raw_title"), str(tmp_path / "x"))
+    with pytest.raises(ValueError, match="columns differ"):
+        table(spark, "/root/testdata/sf0.001", "region", ["r_name"])
