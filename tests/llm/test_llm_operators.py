@@ -209,6 +209,22 @@ def test_hot_family_names_are_cut_by_given_names(spark, monkeypatch):
     assert links() == whole and len(whole) >= 18
 
 
+def test_hot_blocks_drop_no_pair(spark, monkeypatch):
+    rng = random.Random(12)
+    given = ["".join(rng.choice("bdglmnrst") + rng.choice("aeiou") for _ in range(2)) for _ in range(24)] + ["Robert", "William", "Mary Ann"]
+    family = ["Tarnov", "Termofi", "Tornyf", "Tirmuva", "Tarnovi"]
+    known = [(f"e{n}", f"{g.title()} {rng.choice(family)}") for n, g in enumerate(given)] + [("b", "Borisk Tarnov"), ("c", "Bolo Termofi"), ("d", "Bumu Tornyf"), ("t", "Tarnov")]
+    typed = [f.format(g=g.title(), i=g[0].upper(), f=family[n % 5]) for n, g in enumerate(given) for f in ("{f}, {g}", "{i}. {f}", "{g}e {f}", "{f}")]
+    typed += ["B. Tarnov", "Borsik Tarnov", "Tarnov Borisk X", "Bob Termofi", "Bill Tarnov", "BoriskTarnov", "Bor Tarno..."]
+    known = spark.createDataFrame(known, "entity string, name string")
+    typed = spark.createDataFrame([(n,) for n in typed], "name string")
+    taught = spark.createDataFrame([("b", "The Quiet Lamp")], "entity string, name string")
+    links = lambda: {r.name: (r.entity, r.score) for r in N.link_variants(typed, known, taught).collect()}
+    whole = links()
+    monkeypatch.setattr(N, "HOT_BLOCK", 1)
+    assert links() == whole and whole["B. Tarnovi"][0] == "b"
+
+
 def test_given_names_are_no_nicknames_of_each_other(spark):
     # bearers of "Stefan" are missing from the table, under family names that others bear
     known = [("e1", "Walter Brokmeru"), ("e2", "Walter Dulvanik"), ("e3", "Walter Gastremol"), ("e4", "Stefan Pilkodun")]
