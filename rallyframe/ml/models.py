@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.ml.preprocess import encoder, imputed
+from rallyframe.util import discard, materialize
 
 PATIENCE = 25
 PART_ROWS = 100_000
@@ -108,12 +109,16 @@ class Calibrator:
 
 def platt(scored: DataFrame, label: str = "y") -> Calibrator:
     """Sigmoid calibration of ``score`` with Platt's smoothed targets."""
+    # each job of the fit would else carry the classifier and score the rows again
+    scored = materialize(scored.select("score", label))
     counts = scored.agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n")).first()
     high, low = (counts.pos + 1.0) / (counts.pos + 2.0), 1.0 / (counts.n - counts.pos + 2.0)
     target = F.when(F.col(label) == 1, F.lit(high)).otherwise(F.lit(low))
     both = scored.select("score", F.explode(F.array(F.struct(F.lit(1.0).alias("l"), target.alias("w")), F.struct(F.lit(0.0).alias("l"), (1 - target).alias("w")))).alias("t"))
     rows = VectorAssembler(inputCols=["score"], outputCol="x").transform(both.select("score", "t.l", "t.w"))
-    return Calibrator("sigmoid", LogisticRegression(featuresCol="x", labelCol="l", weightCol="w", regParam=0.0, maxIter=100).fit(rows))
+    model = LogisticRegression(featuresCol="x", labelCol="l", weightCol="w", regParam=0.0, maxIter=100).fit(rows)
+    discard(scored)
+    return Calibrator("sigmoid", model)
 
 
 def isotonic(scored: DataFrame, label: str = "y") -> Calibrator:

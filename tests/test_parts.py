@@ -230,6 +230,18 @@ def test_models_and_splits(spark, tmp_path):
         write_bundle(folder, fitted, calibrator, "v1", "s1", {})
 
 
+def test_sigmoid_calibration_scores_each_row_once(spark):
+    scored = spark.sparkContext.accumulator(0)
+
+    def score(k):
+        scored.add(1)
+        return float(k % 7)
+
+    rows = spark.range(60).select((F.col("id") % 2).cast("int").alias("y"), F.udf(score, "double")("id").alias("score"))
+    calibrator = models.platt(rows)
+    assert scored.value == 60 and calibrator.model.numFeatures == 1
+
+
 def test_boosting_stops_early_with_patience(spark):
     assert models.best_iteration([3.0, 2.0, 2.5, 2.4, 1.0, 1.5]) == 5 and models.best_iteration([3.0, 2.0, 2.5, 2.4, 1.0], 2) == 2
     rows = spark.range(300).select(F.rand(1).alias("x"), (F.col("id") >= 250).alias("is_tail"))
