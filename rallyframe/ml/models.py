@@ -95,12 +95,17 @@ def fit(train: DataFrame, numeric: list[str], categorical: list[str], family: st
 
 @dataclass
 class Calibrator:
-    """Sigmoid or isotonic map from ``score`` to ``p``; ``model`` can be saved like any other."""
+    """Sigmoid or isotonic map from ``score`` to ``p``; ``model`` can be saved like any other.
+
+    A sigmoid of no rows has no ``model`` and gives null ``p``.
+    """
 
     kind: str
     model: object
 
     def __call__(self, rows: DataFrame) -> DataFrame:
+        if self.model is None:
+            return rows.withColumn("p", F.lit(None).cast("double"))
         if self.kind == "sigmoid":
             slope, shift = float(self.model.coefficients[0]), float(self.model.intercept)
             return rows.withColumn("p", 1 / (1 + F.exp(-(F.col("score") * slope + shift))))
@@ -108,10 +113,13 @@ class Calibrator:
 
 
 def platt(scored: DataFrame, label: str = "y") -> Calibrator:
-    """Sigmoid calibration of ``score`` with Platt's smoothed targets."""
+    """Sigmoid calibration of ``score`` with Platt's smoothed targets; without rows there is none (``Calibrator``)."""
     # each job of the fit would else carry the classifier and score the rows again
     scored = materialize(scored.select("score", label))
     counts = scored.agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n")).first()
+    if not counts.n:
+        discard(scored)
+        return Calibrator("sigmoid", None)
     high, low = (counts.pos + 1.0) / (counts.pos + 2.0), 1.0 / (counts.n - counts.pos + 2.0)
     target = F.when(F.col(label) == 1, F.lit(high)).otherwise(F.lit(low))
     both = scored.select("score", F.explode(F.array(F.struct(F.lit(1.0).alias("l"), target.alias("w")), F.struct(F.lit(0.0).alias("l"), (1 - target).alias("w")))).alias("t"))
@@ -130,6 +138,6 @@ def isotonic(scored: DataFrame, label: str = "y") -> Calibrator:
 def prediction_rows(calibrated: DataFrame, keep: list[str]) -> DataFrame:
     p = F.col("p")
     return calibrated.select(
-        *keep, "raw_probability", p.alias("calibrated_probability"), F.when(p >= 0.5, "A").otherwise("B").alias("favoured_side"),
+        *keep, "raw_probability", p.alias("calibrated_probability"), F.when(p >= 0.5, "A").when(p < 0.5, "B").alias("favoured_side"),
         F.greatest(p, 1 - p).alias("favoured_probability"),
     )

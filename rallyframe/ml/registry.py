@@ -37,6 +37,8 @@ def _files(spark: SparkSession, folder: str) -> dict[str, str]:
 
 def write_bundle(folder: str, fitted: Fitted, calibrator: Calibrator, feature_version: str, split_id: str, metrics: dict) -> str:
     """Save once, to any folder the session can reach; an existing one is an error."""
+    if calibrator.model is None:
+        raise ValueError("the calibrator was fitted on no rows")
     spark = SparkSession.active()
     system, path = _path(spark, folder)
     if system.exists(path):

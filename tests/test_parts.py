@@ -242,6 +242,34 @@ def test_sigmoid_calibration_scores_each_row_once(spark):
     assert scored.value == 60 and calibrator.model.numFeatures == 1
 
 
+def _cut(spark, folder, where):
+    """The modelling tables of sf0.01 with those modelling rows only."""
+    given = "/root/testdata/sf0.01"
+    spark.read.parquet(f"{given}/modeling_rows.parquet").where(where).write.parquet(f"{folder}/modeling_rows.parquet")
+    spark.read.parquet(f"{given}/canonical_matches.parquet").write.parquet(f"{folder}/canonical_matches.parquet")
+    return str(folder)
+
+
+NO_VALIDATION = "as_of_date <= '20141231' or as_of_date > '20181231'"
+
+
+def test_sigmoid_calibration_of_no_rows(spark, tmp_path):
+    from rallyframe.ml.registry import write_bundle
+    from rallyframe.plans.reference import QUERIES
+
+    ml02 = QUERIES["ml02_logistic_regression"]
+    assert ml02(spark, _cut(spark, tmp_path / "a", "as_of_date <= '20141231'")).count() == 0
+    got = ml02(spark, _cut(spark, tmp_path / "b", NO_VALIDATION)).toPandas()
+    whole = ml02(spark, "/root/testdata/sf0.01").toPandas()
+    # the calibrator alone sees the validation rows: the rest is as it is with them
+    same = ["pos", "canonical_match_id", "y", "raw_probability"]
+    assert len(got) == 200 and got[same].sort_values("pos", ignore_index=True).equals(whole[same].sort_values("pos", ignore_index=True))
+    assert got[["calibrated_probability", "favoured_side", "favoured_probability"]].isna().all(axis=None)
+    with pytest.raises(ValueError, match="no rows"):
+        write_bundle(str(tmp_path / "bundle"), None, models.Calibrator("sigmoid", None), "v1", "s1", {})
+    assert not (tmp_path / "bundle").exists()
+
+
 def test_boosting_stops_early_with_patience(spark):
     assert models.best_iteration([3.0, 2.0, 2.5, 2.4, 1.0, 1.5]) == 5 and models.best_iteration([3.0, 2.0, 2.5, 2.4, 1.0], 2) == 2
     rows = spark.range(300).select(F.rand(1).alias("x"), (F.col("id") >= 250).alias("is_tail"))
