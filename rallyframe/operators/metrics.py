@@ -46,8 +46,8 @@ def calibration_error(rows: DataFrame, bins: int = BINS) -> DataFrame:
 
 
 def point_metrics(rows: DataFrame) -> DataFrame:
-    """n, accuracy at 0.5, log loss (clipped) and Brier score in one pass."""
-    p = F.least(F.greatest(F.col("p"), F.lit(EPS)), F.lit(1 - EPS))
+    """n, accuracy at 0.5, log loss (clipped) and Brier score in one pass; a row with null ``p`` counts in n alone."""
+    p = F.when(F.col("p").isNotNull(), F.least(F.greatest(F.col("p"), F.lit(EPS)), F.lit(1 - EPS)))
     loss = -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))
     right = ((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")
     return rows.agg(

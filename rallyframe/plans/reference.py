@@ -711,7 +711,11 @@ def ml10_replay(spark, folder):
 @query()
 def ml11_metric_bundle(spark, folder):
     rows = materialize(_predictions(spark, folder, "logistic_regression").select("y", F.col("calibrated_probability").alias("p")))
-    parts = [M.point_metrics(rows), M.calibration_error(rows), M.roc_auc(rows)]
+    point = M.point_metrics(rows)
+    # forecasts that all are null (no validation rows) have no calibration error, not one of 0
+    known = point.select(((F.col("n") == 0) | F.col("brier").isNotNull()).alias("_known"))
+    error = M.calibration_error(rows).crossJoin(F.broadcast(known)).select(F.when(F.col("_known"), F.col("ece")).alias("ece"))
+    parts = [point, error, M.roc_auc(rows)]
     long = [part.select(F.expr(f"stack({len(part.columns)}, {', '.join(f"'{c}', double({c})" for c in part.columns)}) as (metric, value)")) for part in parts]
     return long[0].unionAll(long[1]).unionAll(long[2])
 

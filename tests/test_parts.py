@@ -270,6 +270,15 @@ def test_sigmoid_calibration_of_no_rows(spark, tmp_path):
     assert not (tmp_path / "bundle").exists()
 
 
+def test_metric_bundle_without_validation_rows(spark, tmp_path):
+    from rallyframe.plans.reference import QUERIES
+
+    metrics = lambda folder: {r.metric: r.value for r in QUERIES["ml11_metric_bundle"](spark, folder).collect()}
+    none = {"accuracy": None, "log_loss": None, "brier": None, "auc": None}
+    assert metrics(_cut(spark, tmp_path / "a", "as_of_date <= '20141231'")) == {"n": 0.0, "ece": 0.0} | none
+    assert metrics(_cut(spark, tmp_path / "b", NO_VALIDATION)) == {"n": 200.0, "ece": None} | none
+
+
 def test_boosting_stops_early_with_patience(spark):
     assert models.best_iteration([3.0, 2.0, 2.5, 2.4, 1.0, 1.5]) == 5 and models.best_iteration([3.0, 2.0, 2.5, 2.4, 1.0], 2) == 2
     rows = spark.range(300).select(F.rand(1).alias("x"), (F.col("id") >= 250).alias("is_tail"))
