@@ -279,6 +279,17 @@ def test_metric_bundle_without_validation_rows(spark, tmp_path):
     assert metrics(_cut(spark, tmp_path / "b", NO_VALIDATION)) == {"n": 200.0, "ece": None} | none
 
 
+def test_boosting_with_training_rows_alone(spark, tmp_path, monkeypatch):
+    from rallyframe.plans.reference import QUERIES
+
+    fit = models.fit
+    monkeypatch.setattr(models, "fit", lambda *args, trees=400, **kwargs: fit(*args, trees=3, **kwargs))
+    ml04 = QUERIES["ml04_boosted_trees"]
+    assert ml04(spark, _cut(spark, tmp_path / "a", "as_of_date <= '20141231'")).count() == 0
+    got = ml04(spark, _cut(spark, tmp_path / "b", NO_VALIDATION)).collect()
+    assert len(got) == 200 and all(0 <= r.raw_probability <= 1 and r.calibrated_probability is None for r in got)
+
+
 def test_boosting_stops_early_with_patience(spark):
     assert models.best_iteration([3.0, 2.0, 2.5, 2.4, 1.0, 1.5]) == 5 and models.best_iteration([3.0, 2.0, 2.5, 2.4, 1.0], 2) == 2
     rows = spark.range(300).select(F.rand(1).alias("x"), (F.col("id") >= 250).alias("is_tail"))
